@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("warc", "packing")
+MODULES = ("warc", "packing", "simhash")
 
 
 def catalogue() -> tuple[dict, dict]:
