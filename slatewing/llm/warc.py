@@ -125,8 +125,10 @@ def seek_table(source, size: int) -> list[tuple[int, int, int]]:
     return frames
 
 
-def write_archives(rows: DataFrame, folder: str, archives: int, level: int = 3, frame_bytes: int = 1 << 18) -> DataFrame:
-    """Writes the planned rows to ``archives`` files in a shared folder and returns their index.
+def write_archives(rows: DataFrame, folder: str, level: int = 3, frame_bytes: int = 1 << 18) -> DataFrame:
+    """Writes each partition of the planned rows to one file in a shared folder and returns the index.
+    The payloads were dealt out by the join (or the scan) already, in parts of the session's usual
+    size, and aren't shuffled again.
 
     A file appears under its name only when it is whole: each attempt writes a file of its own and
     then moves it, so a lost executor leaves no torn archive."""
@@ -165,7 +167,7 @@ def write_archives(rows: DataFrame, folder: str, archives: int, level: int = 3,
                 "offset": [x[3] for x in part], "length": [x[4] for x in part],
             })
 
-    return rows.select("page_id", "uri", "payload", "payload_digest", "refers_to").repartition(archives).mapInPandas(write, INDEX_SCHEMA)
+    return rows.select("page_id", "uri", "payload", "payload_digest", "refers_to").mapInPandas(write, INDEX_SCHEMA)
 
 
 def read_archives(index: DataFrame, folder: str) -> DataFrame:
@@ -230,14 +232,12 @@ def fetch(folder: str, archive: str, frame_start: int, frame_bytes: int, offset:
     return headers, body
 
 
-def archive_pages(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", dedup_from: int = 1000, archive_bytes: int = 128 << 20, level: int = 3, frame_bytes: int = 1 << 18) -> tuple[DataFrame, str]:
+def archive_pages(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", dedup_from: int = 1000, level: int = 3, frame_bytes: int = 1 << 18) -> tuple[DataFrame, str]:
     """Writes all pages; gives the stored index and the folder that holds it and the archives."""
     spark = pages.sparkSession
     folder = folder or scratch(spark, "warc")
     rows = planned(pages, id_col, url_col, payload_col, dedup_from)
-    size = pages.select(F.sum(F.octet_length(F.col(payload_col).cast("string")))).first()[0] or 0
-    archives = max(spark.sparkContext.defaultParallelism, -(-size // archive_bytes))
-    index = write_archives(rows, f"{folder}/archives", archives, level, frame_bytes)
+    index = write_archives(rows, f"{folder}/archives", level, frame_bytes)
     index.write.mode("overwrite").parquet(f"{folder}/index")
     return spark.read.schema(INDEX_SCHEMA).parquet(f"{folder}/index"), folder
 
