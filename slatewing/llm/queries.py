@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("warc", "decontaminate", "licenses", "packing", "simhash")
+MODULES = ("warc", "quality", "decontaminate", "licenses", "packing", "simhash")
 
 
 def catalogue() -> tuple[dict, dict]:
