@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("warc", "quality", "packing", "chunks", "decontaminate", "licenses", "simhash")
+MODULES = ("warc", "quality", "neighbours", "packing", "chunks", "decontaminate", "licenses", "simhash")
 
 
 def catalogue() -> tuple[dict, dict]:
