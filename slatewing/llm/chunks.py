@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slatewing.llm.common import DOC_COLUMNS, stored, table
+from slatewing.llm.common import DOC_COLUMNS, table
 
 LEAST, MOST = 24, 192
 WINDOW = 16
@@ -121,9 +121,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """(doc_id, k1, chunks): for each document with repeated chunks their (start, size, first) in order."""
     text = F.col(text_col).cast("string")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("k1"), text.cast("binary").alias("text")).filter(F.length("text") > 0)
-    rows = stored(chunk_rows(texts), "chunks")
+    rows = chunk_rows(texts)  # cut twice: that costs less than storing them
     place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "k1", "start")
-    known = rows.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").select("d1", "d2", "first")
+    known = rows.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("d1", "d2", "first")
     again = rows.join(known, ["d1", "d2"]).select("doc_id", "k1", "start", "size", (place == F.col("first")).alias("first")).distinct()
     return again.groupBy("doc_id", "k1").agg(F.array_sort(F.collect_list(F.struct("start", "size", "first"))).alias("chunks"))
 
