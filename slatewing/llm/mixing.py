@@ -15,7 +15,7 @@ anew every ``LANE`` bits, so a text's score doesn't depend on its neighbours, an
 lanes run side by side in vectors.
 
 The base score is the smoothed unigram formula over exact counts: frequent tokens' counts are broadcast
-(at most ``KNOWN`` of them), the rest join the count table.
+(at most ``WORDS`` of them), the rest join the count table.
 
 Defined results: null and empty texts consist of the end token alone; a null doc_id is a training row;
 equal rows get equal results; without training rows N and V are 0. Only id and text are read.
@@ -23,6 +23,7 @@ equal rows get equal results; without training rows N and V are 0. Only id and t
 
 from __future__ import annotations
 
+import heapq
 import math
 import uuid
 from collections import Counter
@@ -34,8 +35,7 @@ from pyspark.sql import functions as F
 
 from slatewing.llm.common import held_out, lowered, stored, table
 
-WORDS = (1 << 15) - 1
-KNOWN = 1 << 18
+WORDS = (1 << 18) - 1
 LANE = 2048
 MOST_BITS = 22
 PARTS = 64
@@ -44,9 +44,11 @@ UNIT = 16.0
 GATES = 8
 STEPS = 24
 RATE = 0.02
+BIAS = 4
+SLICE = 50_000
 START, RARE = 0x7FFFFFFF, 0x7FFFFFFE
 # Where no context beyond the first was seen, with the word before, with two words before, with both.
-FIRST_WEIGHTS = np.array([[1.0, 0.0, 0.0], [0.5, 0.6, 0.0], [0.5, 0.0, 0.5], [0.3, 0.4, 0.45]], np.float32)
+FIRST_WEIGHTS = np.array([[1.0, 0, 0, 0], [0.7, 0.4, 0, 0], [0.8, 0, 0.25, 0], [0.55, 0.35, 0.2, 0]], np.float32)
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -84,7 +86,9 @@ def count_tokens(texts: DataFrame) -> DataFrame:
 
 
 def frequent(counts: DataFrame, most: int) -> tuple[list[bytes], np.ndarray]:
-    """The most frequent tokens, in order, and their counts: as many whole steps of frequency as fit."""
+    """The most frequent tokens, in order, and their counts: as many whole steps of frequency as fit.
+    Tokens seen once are left out: as escapes they show the model how often new words come."""
+    counts = counts.filter("n > 1")
     step = F.floor(F.log2("n") * 8)
     sizes = sorted(((r[0], r[1]) for r in counts.groupBy(step.alias("s")).agg(F.count(F.lit(1))).collect()), reverse=True)
     total, least = 0, None
@@ -99,22 +103,40 @@ def frequent(counts: DataFrame, most: int) -> tuple[list[bytes], np.ndarray]:
     return [x[1] for x in rows], np.array([x[0] for x in rows], np.int64)
 
 
-def code_words(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """For rank r its code with a leading 1 and its length: four bits for the size of r + 1, then r + 1
-    without its first bit. The last entry is the escape."""
-    v = np.arange(1, n + 1)
-    size = np.floor(np.log2(v)).astype(np.int64) + 1 if n else np.zeros(0, np.int64)
-    code = ((16 | size) << (size - 1)) | (v & ((1 << (size - 1)) - 1))
-    return np.r_[code, 16].astype(np.int32), np.r_[size + 3, 4].astype(np.int32)
+def class_codes(weights: list[float]) -> list[int]:
+    """A Huffman code of the size classes, each with a leading 1."""
+    heap = [(w, k, [k]) for k, w in enumerate(weights)]
+    bits = {k: "" for k in range(len(weights))}
+    heapq.heapify(heap)
+    while len(heap) > 1:
+        (v, i, low), (w, _, high) = heapq.heappop(heap), heapq.heappop(heap)
+        for k in low:
+            bits[k] = "0" + bits[k]
+        for k in high:
+            bits[k] = "1" + bits[k]
+        heapq.heappush(heap, (v + w, i, low + high))
+    return [int("1" + (bits[k] or "0"), 2) for k in range(len(weights))]
+
+
+def code_words(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """For rank r its code with a leading 1 and its length: the class, which is the size of r + 1 in
+    bits, then r + 1 without its first bit. The last entry is the escape, class 0. Third: the largest
+    class code."""
+    v = np.arange(1, len(counts) + 1)
+    size = np.floor(np.log2(v)).astype(np.int64) + 1 if len(v) else np.zeros(0, np.int64)
+    sums = np.bincount(size, weights=counts, minlength=2) if len(v) else np.zeros(2)
+    classes = np.array(class_codes([max(float(x), 1.0) for x in (0.05 * counts.sum(), *sums[1:])]))
+    width = np.floor(np.log2(classes)).astype(np.int64)
+    code = (classes[size] << (size - 1)) | (v & ((1 << (size - 1)) - 1))
+    return np.r_[code, classes[0]].astype(np.int32), np.r_[width[size] + size - 1, width[0]].astype(np.int32), int(classes.max())
 
 
 class Coder:
     """Tokens to bits: what training and scoring share. Each bit has its node (the code so far)."""
 
-    def __init__(self, words: list[bytes], bits: int):
+    def __init__(self, words: list[bytes], counts: np.ndarray, bits: int):
         self.words, self.bits, self.key = words, bits, uuid.uuid4().hex
-        self.modelled = min(len(words), WORDS)
-        self.code, self.length = code_words(self.modelled)
+        self.code, self.length, self.classes = code_words(counts)
 
     def index(self) -> dict[bytes, int]:
         """Token to rank, made once in each Python process."""
@@ -128,7 +150,7 @@ class Coder:
 
     def decisions(self, ranks: np.ndarray, first: np.ndarray):
         """(node, bit, slot1, slot2, bits of each token); ``first`` marks a text's first token."""
-        which = np.where((ranks >= 0) & (ranks < self.modelled), ranks, self.modelled)
+        which = np.where(ranks < 0, len(self.words), ranks)
         code, length = self.code[which], self.length[which]
         before = np.where(ranks < 0, RARE, ranks).astype(np.uint32)
         one = np.r_[np.uint32(START), before[:-1]]
@@ -137,11 +159,15 @@ class Coder:
         two[first] = START
         h1 = (one + np.uint32(1)) * np.uint32(2654435761)
         h2 = (h1 ^ (two + np.uint32(7)) * np.uint32(2246822519)) * np.uint32(3266489917)
-        left = np.repeat(np.cumsum(length), length) - np.arange(int(length.sum()))
+        total = int(length.sum())
+        left = np.repeat(np.cumsum(length, dtype=np.int32), length)
+        left -= np.arange(total, dtype=np.int32)
         node = np.repeat(code, length)
-        bit = (node >> (left - 1).astype(np.int32)) & 1
-        node >>= left.astype(np.int32)
-        spread = node.astype(np.uint32) * np.uint32(668265263)
+        left -= np.int32(1)
+        node >>= left
+        bit = (node & np.int32(1)).astype(np.uint8)
+        node >>= np.int32(1)
+        spread = node.view(np.uint32) * np.uint32(668265263)
         slots = []
         for h in (h1, h2):
             x = np.repeat(h, length)
@@ -149,8 +175,9 @@ class Coder:
             x *= np.uint32(374761393)
             x ^= x >> np.uint32(15)
             x *= np.uint32(2246822519)
-            slots.append(x >> np.uint32(32 - self.bits))
-        return node, bit.astype(np.uint8), slots[0], slots[1], length
+            x >>= np.uint32(32 - self.bits)
+            slots.append(x)
+        return node, bit, slots[0], slots[1], length
 
 
 CACHE: dict = {}
@@ -204,10 +231,10 @@ def gather(texts: DataFrame, coder: Coder) -> tuple[np.ndarray, np.ndarray, np.n
         tables = [np.zeros(size * 2, np.int32) for _ in range(2)]
         pairs = np.zeros(65536, np.int64)
         for batch in batches:
-            for part in flat(batch.column(0), 200_000):
+            for part in flat(batch.column(0), SLICE):
                 words, _, first = joined(part)
                 ranks = coder.ranks(words)
-                pairs += np.bincount(letters([words[i] for i in np.flatnonzero((ranks < 0) | (ranks >= coder.modelled))]), minlength=65536)
+                pairs += np.bincount(letters([words[i] for i in np.flatnonzero(ranks < 0)]), minlength=65536)
                 _, bit, one, two, _ = coder.decisions(ranks, first)
                 for t, slot in zip(tables, (one, two)):
                     np.add.at(t, slot.astype(np.int64) * 2 + bit, np.int32(1))
@@ -262,9 +289,9 @@ class Mixer:
     def __init__(self, coder: Coder, counts: np.ndarray, one: np.ndarray, two: np.ndarray, pairs: np.ndarray, total: int):
         self.coder, self.one, self.two = coder, one, two
         self.log_counts = np.log10(counts + 0.1)
-        plain = np.zeros((1 << 19, 2))
-        own = np.r_[counts[: coder.modelled], max(total - int(counts[: coder.modelled].sum()), 0)]
-        for j in range(1, 19):
+        plain = np.zeros((int(coder.code.max()), 2))
+        own = np.r_[counts, max(total - int(counts.sum()), 0)]
+        for j in range(1, int(coder.length.max()) + 1):
             some = coder.length >= j
             prefix = coder.code[some] >> (coder.length[some] - j)
             np.add.at(plain, (prefix >> 1, prefix & 1), own[some])
@@ -274,54 +301,68 @@ class Mixer:
 
     def bits(self, ranks: np.ndarray, first: np.ndarray) -> np.ndarray:
         """The cost in bits of each token's code word."""
-        node, bit, one, two, length = self.coder.decisions(ranks, first)
-        odds = self.plain[node], self.one[one], self.two[two]
-        gate = (odds[1] != 0).astype(np.uint8) + (odds[2] != 0).astype(np.uint8) * 2 + (node >= 16).astype(np.uint8) * 4
+        lengths, odds, marks = [], [], []
+        cuts = [*range(0, len(ranks), SLICE), len(ranks)]
+        for a, b in zip(cuts, cuts[1:]):
+            back = min(a, 2)  # the slice's first words need the two before it
+            node, bit, one, two, length = self.coder.decisions(ranks[a - back : b], first[a - back : b])
+            skip = int(length[:back].sum())
+            x = np.empty((len(bit) - skip, 4), np.int8)
+            x[:, 0], x[:, 1], x[:, 2], x[:, 3] = self.plain[node[skip:]], self.one[one[skip:]], self.two[two[skip:]], BIAS
+            gate = (x[:, 1] != 0).view(np.uint8) | (x[:, 2] != 0).view(np.uint8) << 1 | (node[skip:] > self.coder.classes).view(np.uint8) << 2
+            odds.append(x)
+            marks.append(gate << 1 | bit[skip:])
+            lengths.append(length[back:])
+        length = np.concatenate(lengths).astype(np.int64)
         ends = np.cumsum(length)
         doc_start = (ends - length)[first]
-        sizes = np.diff(np.r_[doc_start, len(bit)])
-        cost = run_lanes(odds, gate, bit, doc_start, sizes)
-        return np.add.reduceat(cost, ends - length) if len(length) else np.zeros(0)
+        cost = run_lanes(np.concatenate(odds), np.concatenate(marks), doc_start, np.diff(np.r_[doc_start, ends[-1]]))
+        return np.add.reduceat(cost, ends - length)
 
 
-def run_lanes(odds, gate: np.ndarray, bit: np.ndarray, doc_start: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The cost of every bit. Texts are cut into lanes of at most LANE bits that run side by side."""
+def run_lanes(odds: np.ndarray, marks: np.ndarray, doc_start: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The cost of every bit, from the four inputs of each and its mark (gate and value). Texts are cut
+    into lanes of at most LANE bits that run side by side; a lane's four weights for a gate lie together."""
     lanes = -(-sizes // LANE)
     which = np.repeat(np.arange(len(sizes)), lanes)
     k = np.arange(len(which)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
     start = doc_start[which] + k * LANE
     size = np.minimum(sizes[which] - k * LANE, LANE)
     order = np.argsort(-size, kind="stable")
-    start, size = start[order], size[order]
-    n = len(start)
-    weights = [np.repeat(np.tile(FIRST_WEIGHTS[:, i], GATES // 4), n) for i in range(3)]
-    centre = 1 / (1 + np.exp(-(np.arange(STEPS) - STEPS / 2 + 0.5) / 1.5))
-    refine = np.repeat(np.tile(centre.astype(np.float32), 2), n)
-    marks = (gate << 1) | bit
-    cost = np.empty(len(bit), np.float32)
+    cur, size = start[order], size[order]
+    n = len(cur)
+    weights = np.repeat(np.tile(FIRST_WEIGHTS, (GATES // 4, 1)) / np.float32(UNIT), n, axis=0).ravel().view(np.complex128)
+    refine = np.repeat(np.tile(((np.arange(STEPS) + 0.5) / STEPS).astype(np.float32), 2), n)
+    inputs = odds.reshape(-1).view(np.int32)
+    cost = np.empty(len(marks), np.float32)
     active = n - np.searchsorted(size[::-1], np.arange(1, int(size.max(initial=0)) + 1))
-    cur, scale = start.copy(), np.float32(1 / UNIT)
-    lane = np.arange(n)
-    for t, a in enumerate(active):
+    lane, rate = np.arange(n), np.float32(RATE / UNIT / UNIT)
+    for a in active.tolist():
         at = cur[:a]
         mark = marks.take(at).astype(np.int64)
         truth = (mark & 1).astype(np.float32)
-        row = (mark >> 1) * n + lane[:a]
-        x = [o.take(at).astype(np.float32) * scale for o in odds]
-        w = [v.take(row) for v in weights]
-        dot = x[0] * w[0] + x[1] * w[1] + x[2] * w[2]
-        np.clip(dot, -12, 12, out=dot)
-        p = 1 / (1 + np.exp(-dot))
-        step = np.clip((dot * np.float32(1.5) + np.float32(STEPS / 2)), 0, STEPS - 1).astype(np.int64)
-        seat = (step + (mark >> 3) * STEPS) * n + lane[:a]
+        row = (mark >> 1) * n
+        row += lane[:a]
+        x = inputs.take(at).view(np.int8).astype(np.float32).reshape(a, 4)
+        w = weights.take(row).view(np.float32).reshape(a, 4)
+        p = np.einsum("ij,ij->i", x, w)
+        np.clip(p, -14, 14, out=p)
+        np.negative(p, out=p)
+        np.exp(p, out=p)
+        p += np.float32(1)
+        np.reciprocal(p, out=p)
+        seat = (p * np.float32(STEPS - 0.001)).astype(np.int64)
+        seat += (mark >> 3) * STEPS
+        seat *= n
+        seat += lane[:a]
         r = refine.take(seat)
-        final = p * np.float32(0.75) + r * np.float32(0.25)
-        cost[at] = np.abs(1 - truth - final)
-        refine[seat] = r + (truth - r) * np.float32(0.03)
-        err = (truth - p) * np.float32(RATE)
-        for v, old, xi in zip(weights, w, x):
-            v[row] = old + err * xi
-        cur[:a] += 1
+        cost[at] = np.abs(1 - truth - (p * np.float32(0.75) + r * np.float32(0.25)))
+        r += (truth - r) * np.float32(0.03)
+        refine[seat] = r
+        x *= ((truth - p) * rate)[:, None]
+        w += x
+        weights[row] = w.reshape(-1).view(np.complex128)
+        at += 1
     return -np.log2(np.maximum(cost, 1e-7))
 
 
@@ -330,8 +371,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tupl
     texts = texts_of(docs, id_col, text_col)
     counts = count_tokens(texts)
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    words, own = frequent(counts, KNOWN)
-    coder = Coder(words, int(min(MOST_BITS, max(14, math.ceil(math.log2(total + 1)) - 2))))
+    words, own = frequent(counts, WORDS)
+    coder = Coder(words, own, int(min(MOST_BITS, max(14, math.ceil(math.log2(total + 1)) - 2))))
     one, two, pairs = gather(texts, coder)
     return Mixer(coder, own, one, two, pairs, total), counts, total, distinct
 
@@ -349,12 +390,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         known = len(model.log_counts)
         for batch in batches:
             at = 0
-            for part in flat(batch.column(1), SUB // 12):
+            for part in flat(batch.column(1), SUB // 16):
                 words, sizes, first = joined(part)
                 ranks = model.coder.ranks(words)
                 starts = np.cumsum(sizes) - sizes
                 log10 = model.bits(ranks, first) * -math.log10(2)
-                spelled = np.flatnonzero((ranks < 0) | (ranks >= model.coder.modelled))
+                spelled = np.flatnonzero(ranks < 0)
                 if len(spelled):
                     own = [words[i] for i in spelled]
                     ends = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1)
@@ -362,7 +403,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 seen = ranks >= 0
                 base = np.where(seen, model.log_counts[np.where(seen, ranks, 0)] if known else 0.0, 0.0)
                 add = lambda x: np.add.reduceat(x, starts)
-                rare = np.flatnonzero(~seen)
+                rare = spelled
                 owner = np.searchsorted(starts, rare, side="right") - 1
                 offsets = np.searchsorted(owner, np.arange(len(sizes) + 1)).astype(np.int32)
                 n_bytes = np.fromiter((len(x) for x in (batch.column(1)[at + i].as_py() or b"" for i in range(len(sizes)))), np.int64, len(sizes))
