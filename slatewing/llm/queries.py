@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("warc", "quality", "neighbours", "packing", "chunks", "decontaminate", "licenses", "mixing", "simhash")
+MODULES = ("warc", "quality", "suffixes", "neighbours", "packing", "chunks", "decontaminate", "licenses", "mixing", "simhash")
 
 
 def catalogue() -> tuple[dict, dict]:
