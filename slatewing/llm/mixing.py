@@ -1,11 +1,12 @@
 """Language-model scoring by online logistic context mixing.
 
-Tokens are words; frequent ones (at most ``WORDS``) are written as binary code words by rank, the rest
-as an escape and then spelled. For every bit, predictors of three hashed contexts (none, the word
-before, the two words before) give their log odds; a mixer adds them with weights from the set that a
-gate selects (which contexts were seen, and the kind of bit), and after each bit the set is corrected
-by the error (online logistic regression). A secondary map from the mixed odds to what really followed
-refines the result adaptively. The bits' costs and the spelled letters' make the text's probability.
+Tokens are words; frequent ones (at most ``WORDS``) are written as binary code words by rank and, among
+ranks with the same code word, by their share; the rest as an escape and then spelled. For every bit,
+predictors of three hashed contexts (none, the word before, the two words before) give their log odds;
+a mixer adds them with weights from the set that a gate selects (which contexts were seen, and the kind
+of bit), and after each bit the set is corrected by the error (online logistic regression). A secondary
+map from the mixed odds to what really followed refines the result adaptively. The bits' costs and the
+spelled letters' make the text's probability.
 
 What is learned from the training rows covers all of them: exact counts of all tokens (a table that
 grows with the corpus), the bit counts of the hashed contexts, and letter pairs of spelled words. Each
@@ -33,10 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slatewing.llm.common import held_out, lowered, stored, table
+from slatewing.llm.common import LOWER_ASCII, held_out, stored, table
 
 WORDS = (1 << 18) - 1
-LANE = 2048
+LANE = 1024
+DEEP = 5
 MOST_BITS = 22
 PARTS = 64
 SUB = 4_000_000
@@ -52,14 +54,14 @@ FIRST_WEIGHTS = np.array([[1.0, 0, 0, 0], [0.7, 0.4, 0, 0], [0.8, 0, 0.25, 0], [
 
 
 def tokens(text: bytes | None) -> list[bytes]:
-    """The words of a lower-cased text and the end, which is the empty token."""
-    words = (text or b"").split()
+    """The words of a text, A-Z lower-cased, and the end, which is the empty token."""
+    words = (text or b"").translate(LOWER_ASCII).split()
     words.append(b"")
     return words
 
 
 def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), lowered(text_col).cast("binary").alias("text"), held_out(10, 0, id_col).alias("held_out"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"), held_out(10, 0, id_col).alias("held_out"))
 
 
 def count_tokens(texts: DataFrame) -> DataFrame:
@@ -118,17 +120,20 @@ def class_codes(weights: list[float]) -> list[int]:
     return [int("1" + (bits[k] or "0"), 2) for k in range(len(weights))]
 
 
-def code_words(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+def code_words(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]:
     """For rank r its code with a leading 1 and its length: the class, which is the size of r + 1 in
-    bits, then r + 1 without its first bit. The last entry is the escape, class 0. Third: the largest
-    class code."""
+    bits, then the DEEP bits of r + 1 after its first. The last entry is the escape, class 0. Third: the
+    largest class code. Fourth: the cost in bits of the rank among those with the same code."""
     v = np.arange(1, len(counts) + 1)
     size = np.floor(np.log2(v)).astype(np.int64) + 1 if len(v) else np.zeros(0, np.int64)
     sums = np.bincount(size, weights=counts, minlength=2) if len(v) else np.zeros(2)
     classes = np.array(class_codes([max(float(x), 1.0) for x in (0.05 * counts.sum(), *sums[1:])]))
     width = np.floor(np.log2(classes)).astype(np.int64)
-    code = (classes[size] << (size - 1)) | (v & ((1 << (size - 1)) - 1))
-    return np.r_[code, classes[0]].astype(np.int32), np.r_[width[size] + size - 1, width[0]].astype(np.int32), int(classes.max())
+    rest = np.minimum(size - 1, DEEP)
+    code = (classes[size] << rest) | ((v >> (size - 1 - rest)) & ((1 << rest) - 1))
+    alike = np.bincount(code, weights=counts) if len(v) else np.zeros(1)
+    within = np.log2(alike[code] / np.maximum(counts, 1))
+    return np.r_[code, classes[0]].astype(np.int32), np.r_[width[size] + rest, width[0]].astype(np.int32), int(classes.max()), np.r_[within, 0.0]
 
 
 class Coder:
@@ -136,7 +141,7 @@ class Coder:
 
     def __init__(self, words: list[bytes], counts: np.ndarray, bits: int):
         self.words, self.bits, self.key = words, bits, uuid.uuid4().hex
-        self.code, self.length, self.classes = code_words(counts)
+        self.code, self.length, self.classes, self.within = code_words(counts)
 
     def index(self) -> dict[bytes, int]:
         """Token to rank, made once in each Python process."""
@@ -317,7 +322,7 @@ class Mixer:
         ends = np.cumsum(length)
         doc_start = (ends - length)[first]
         cost = run_lanes(np.concatenate(odds), np.concatenate(marks), doc_start, np.diff(np.r_[doc_start, ends[-1]]))
-        return np.add.reduceat(cost, ends - length)
+        return np.add.reduceat(cost, ends - length) + self.coder.within[np.where(ranks < 0, -1, ranks)]
 
 
 def run_lanes(odds: np.ndarray, marks: np.ndarray, doc_start: np.ndarray, sizes: np.ndarray) -> np.ndarray:

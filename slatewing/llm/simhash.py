@@ -23,12 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slatewing.llm.common import settle, table
+from slatewing.llm.common import LOWER_ASCII, settle, table
 from slatewing.llm.graph import components
 
 BUCKET = 2048
 SMALL = 16
-LOWER_ASCII = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: A byte's eight bits spread over the eight bytes of a word, for sums of up to 255 of them.
 SPREAD = np.array([int.from_bytes(bytes((b >> k) & 1 for k in range(8)), "little") for b in range(256)], dtype=np.uint64)
 
