@@ -5,8 +5,9 @@ the ``GRAM``-byte strings in it the one with the smallest hash, the leftmost of
 have equal anchors at equal places, so it is enough to compare suffixes that begin at equal anchors, and
 an anchor found once needs no comparison at all. An anchor's segment is the text that its windows cover.
 
-1. One task's texts give rows (hash of the anchor, hash of the segment, place). Sorted by both, equal
-   neighbours show segments that repeat as a whole; anchors with several different segments remain.
+1. One task's texts give rows (hash of the anchor, hash of the segment, place), which are counted with
+   partial sums before the shuffle: segments found more than once repeat as a whole; anchors with
+   several different segments remain.
 2. Of those, one copy of each different segment is fetched and sorted by what follows the anchor: the
    suffix array of that anchor with its common prefixes. A stack scan merges the common-prefix intervals
    from the longest down. Each interval keeps its suffixes in the order of what precedes the anchor;
@@ -30,7 +31,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slatewing.llm.common import stored, table
@@ -301,23 +302,20 @@ def counted(segments: DataFrame, least: int) -> DataFrame:
 def repeat_spans(texts: DataFrame, least: int = LEAST, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """(k1, k2, start, stop): stretches of the texts that repeat elsewhere; they may overlap."""
     long = texts.filter(F.octet_length("text") >= least).select("k1", "k2", "text")
-    order = Window.partitionBy("h").orderBy("s")
-    before, after = F.lag("s").over(order), F.lead("s").over(order)
-    first = F.first("s").over(order.rowsBetween(Window.unboundedPreceding, 0)) == F.col("s")
-    same_before, same_after = F.coalesce(before == F.col("s"), F.lit(False)), F.coalesce(after == F.col("s"), F.lit(False))
-    # A segment is asked for once: by the first of its rows or, where its anchor's rows begin with it, by its last.
-    ask = F.when(first, after.isNotNull() & ~same_after).otherwise(~same_before)
-    marked = occurrences(long, least, gram).select("*", (same_before | same_after).alias("whole"), ask.alias("ask")).filter(F.col("whole") | F.col("ask"))
-    marked = stored(marked, "anchors")
+    rows = occurrences(long, least, gram)  # made twice: that costs less than storing them
+    one = rows.groupBy("h", "s").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "place")).alias("at"))
+    segments_of = one.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.max("n").alias("most")).filter((F.col("m") > 1) | (F.col("most") > 1)).select(F.col("h").alias("anchor_hash"), "m")
+    groups = stored(one.join(segments_of, F.col("h") == F.col("anchor_hash")).filter((F.col("n") > 1) | (F.col("m") > 1)).select("h", "s", "n", "m", "at.*"), "anchors")
+
     lo = F.shiftright("place", 24)
-    whole = marked.filter("whole").select("k1", "k2", lo.alias("start"), (lo + F.col("place").bitwiseAND(4095) + least).alias("stop"))
-    requests = marked.filter("ask")
-    crowded = requests.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowd).select("h")
-    if crowded.isEmpty():
-        return whole.unionByName(scanned(cut_segments(requests, long, least), least))
-    segments = stored(cut_segments(requests, long, least), "segments")
-    crowded = stored(crowded, "crowded")
-    return whole.unionByName(scanned(segments.join(crowded, "h", "left_anti"), least)).unionByName(counted(segments.join(crowded, "h", "left_semi"), least))
+    again = groups.filter("n > 1").select("h", "s")
+    whole = rows.join(again, ["h", "s"], "left_semi").select("k1", "k2", lo.alias("start"), (lo + F.col("place").bitwiseAND(4095) + least).alias("stop"))
+    requests = groups.filter("m > 1")
+    few = scanned(cut_segments(requests.filter(F.col("m") <= crowd), long, least), least)
+    many = requests.filter(F.col("m") > crowd)
+    if many.isEmpty():
+        return whole.unionByName(few)
+    return whole.unionByName(few).unionByName(counted(stored(cut_segments(many, long, least), "crowded"), least))
 
 
 def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
