@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slatewing.llm.common import LOWER_ASCII, settle, table
+from slatewing.llm.common import DOC_COLUMNS, LOWER_ASCII, settle, table
 from slatewing.llm.graph import components
 
 BUCKET = 2048
@@ -114,62 +114,85 @@ def spanning(prints: np.ndarray, radius: int):
             left = left[~near]
 
 
-def verified(buckets: DataFrame, radius: int) -> DataFrame:
-    """Links (a, b) inside the buckets of (bucket..., print) rows; a bucket's rows stream by in order."""
-    keys = [c for c in buckets.columns if c != "print"]
+def verified(rows: DataFrame, radius: int, bucket: int | None) -> DataFrame:
+    """Links (a, b) inside the buckets of rows (keys..., print); a bucket's rows stream by in order. A
+    bucket over the limit gives a row with its keys and null links instead, and isn't held."""
+    keys = [c for c in rows.columns if c != "print"]
 
-    def links(group: np.ndarray, prints: np.ndarray):
-        """For the rows of whole groups: small ones by shifted comparison, larger ones by a forest."""
-        edge = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-        size = np.diff(np.r_[edge, len(group)])
+    def links(cells: np.ndarray):
+        """For whole buckets: small ones by shifted comparison, larger ones by a forest."""
+        edge = np.flatnonzero(np.r_[True, (cells[:-1, 1:] != cells[:-1, :-1]).any(axis=0)])
+        size = np.diff(np.r_[edge, cells.shape[1]])
+        prints, group = cells[-1].copy().view(np.uint64), np.repeat(np.arange(len(size)), size)
         small = np.repeat(size <= SMALL, size)
+        most = int(size[size <= SMALL].max(initial=0))
         a, b = [], []
-        for d in range(1, SMALL):
-            near = np.flatnonzero(small[:-d] & (group[d:] == group[:-d]) & (np.bitwise_count(prints[d:] ^ prints[:-d]) <= radius)) if len(group) > d else []
-            if d > 1 and not len(near) and not (size[size <= SMALL] > d).any():
-                break
+        for d in range(1, most):
+            near = np.flatnonzero(small[:-d] & (group[d:] == group[:-d]))
+            near = near[np.bitwise_count(prints[near + d] ^ prints[near]) <= radius]
             a.append(prints[near])
-            b.append(prints[np.asarray(near, np.int64) + d])
-        for e, n in zip(edge[size > SMALL], size[size > SMALL]):
+            b.append(prints[near + d])
+        over = size > (bucket or len(prints))
+        for e, n in zip(edge[(size > SMALL) & ~over], size[(size > SMALL) & ~over]):
             pairs = np.array(list(spanning(prints[e : e + n], radius)), np.int64).reshape(-1, 2)
             a.append(prints[e + pairs[:, 0]])
             b.append(prints[e + pairs[:, 1]])
         a, b = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (a, b))
-        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (a, b)], names=["a", "b"])
+        yield packed(pa.array(a.view(np.int64)), pa.array(b.view(np.int64)))
+        if over.any():
+            yield crowd(cells[:-1, edge[over]])
+
+    def crowd(keys_of: np.ndarray):
+        return packed(None, None, [pa.array(np.ascontiguousarray(x)) for x in keys_of])
+
+    def packed(a, b, of=None):
+        n = len(of[0]) if of else len(a)
+        gap = pa.nulls(n, pa.int64())
+        return pa.RecordBatch.from_arrays([gap if a is None else a, gap if b is None else b, *(of or [gap] * len(keys))], names=["a", "b", *keys])
 
     def run(batches):
-        rest = None
+        rest, skipped = np.zeros((len(keys) + 1, 0), np.int64), None
         for batch in batches:
-            rows = np.stack([np.asarray(x) for x in batch.columns])
-            rows = rows if rest is None else np.concatenate([rest, rows], axis=1)
-            if not rows.shape[1]:
+            cells = np.stack([np.asarray(x) for x in batch.columns])
+            if skipped is not None:
+                cells = cells[:, (cells[:-1] != skipped[:, None]).any(axis=0)]
+            cells = np.concatenate([rest, cells], axis=1)
+            if not cells.shape[1]:
                 continue
-            change = np.r_[False, (rows[:-1, 1:] != rows[:-1, :-1]).any(axis=0)]
-            group = np.cumsum(change)
-            whole = np.searchsorted(group, group[-1])
-            rest = rows[:, whole:]
+            last = (cells[:-1] == cells[:-1, -1:]).all(axis=0)
+            whole = cells.shape[1] - int(last.sum())
+            rest = cells[:, whole:]
             if whole:
-                yield links(group[:whole], rows[-1, :whole].copy().view(np.uint64))
-        if rest is not None and rest.shape[1]:
-            yield links(np.zeros(rest.shape[1], np.int64), rest[-1].copy().view(np.uint64))
+                yield from links(cells[:, :whole])
+            if bucket and rest.shape[1] > bucket:
+                skipped, rest = rest[:-1, 0].copy(), rest[:, :0]
+                yield crowd(skipped[:, None])
+        if rest.shape[1]:
+            yield from links(rest)
+
+    schema = ", ".join(f"{c} long" for c in ("a", "b", *keys))
+    return rows.select(*keys, "print").repartition(*keys).sortWithinPartitions(*keys, "print").mapInArrow(run, schema)
 
-    return buckets.select(*keys, "print").repartition(*keys).sortWithinPartitions(*keys, "print").mapInArrow(run, "a long, b long")
+
+def masked(rows: DataFrame, which: list[int], index: str, key: str) -> DataFrame:
+    """A row for each mask: its number and the fingerprint's kept bits."""
+    numbered = rows.select("*", F.posexplode(F.array(*[F.lit(signed(m)) for m in which])).alias(index, "__mask"))
+    return numbered.select(*rows.columns[:-1], F.col(index).cast("long").alias(index), F.col("print").bitwiseAND(F.col("__mask")).alias(key), "print")
 
 
 def near_links(prints: DataFrame, radius: int = 3, bucket: int = BUCKET) -> DataFrame:
     """Links between distinct fingerprints (column ``print``) that connect all pairs within the radius."""
     first = masks(radius)
-    rows = prints.select(F.explode(F.array(*[F.struct(F.lit(v).cast("long").alias("t"), F.col("print").bitwiseAND(F.lit(signed(m))).alias("key"), "print") for v, m in enumerate(first)])).alias("x")).select("x.*")
-    rows = settle(rows)
-    crowded = settle(rows.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bucket).drop("n"))
+    rows = masked(prints.select("print"), first, "t", "key")
+    found = settle(verified(rows, radius, bucket))
+    links, crowded = found.filter("a is not null").select("a", "b"), found.filter("a is null").select("t", "key")
     if crowded.isEmpty():
-        return verified(rows, radius)
-    second = F.lit(None)
-    for v, m in enumerate(first):
-        finer = F.array(*[F.struct(F.lit(w).cast("long").alias("t2"), F.col("print").bitwiseAND(F.lit(signed(x))).alias("key2")) for w, x in enumerate(masks(radius, ~m & (1 << 64) - 1))])
-        second = F.when(F.col("t") == v, finer) if v == 0 else second.when(F.col("t") == v, finer)
-    split = rows.join(crowded, ["t", "key"], "left_semi").select("t", "key", "print", F.explode(second).alias("x")).select("t", "key", "x.t2", "x.key2", "print")
-    return verified(rows.join(crowded, ["t", "key"], "left_anti"), radius).unionByName(verified(split, radius))
+        return links
+    again = rows.join(crowded, ["t", "key"], "left_semi").select("t", "key", "print")
+    for v in [r[0] for r in crowded.select("t").distinct().collect()]:
+        finer = masked(again.filter(F.col("t") == v), masks(radius, ~first[v] & (1 << 64) - 1), "t2", "key2")
+        links = links.unionByName(verified(finer, radius, None).select("a", "b"))
+    return links
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
@@ -184,6 +207,115 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     return own.join(names, F.col("print") == F.col("named")).select("doc_id", "print", "component_id")
 
 
+def word_print(text: bytes | None) -> int:
+    """A fingerprint of the different words, each with its length as weight: near copies differ in few
+    bits of it, since the short and frequent words that all texts share weigh little."""
+    from xxhash import xxh64_intdigest as xx
+
+    words = sorted(set((text or b"").translate(LOWER_ASCII).split()))
+    if not words:
+        return 0
+    hashes = np.array([xx(w, 42) for w in words], "<u8")
+    weight = np.array([len(w) for w in words], np.float32)
+    sums = weight @ np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
+    return int(np.packbits(sums * 2 > weight.sum(), bitorder="little").view("<i8")[0])
+
+
+def same_shingles(nodes, prints: np.ndarray, sets: list[frozenset], sides: np.ndarray, both: bool, radius: int, similarity: float):
+    """Links of a block (or between the two sides of a pair of blocks) whose shingles' Jaccard similarity
+    is enough; pairs that earlier links join already are not compared again."""
+    up = list(range(len(nodes)))
+
+    def root(i):
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    for i in range(len(nodes)):
+        near = np.flatnonzero(np.bitwise_count(prints[i + 1 :] ^ prints[i]) <= radius) + i + 1
+        if both:
+            near = near[sides[near] != sides[i]]
+        for j in near.tolist():
+            a, b = root(i), root(j)
+            if a != b:
+                common = len(sets[i] & sets[j])
+                if common >= similarity * (len(sets[i]) + len(sets[j]) - common):
+                    up[b] = a
+                    yield nodes[i], nodes[j]
+
+
+def shingle_links(members: DataFrame, shingle: int, radius: int, similarity: float) -> DataFrame:
+    """Verified links (a, b) between texts (node) of rows (root, i, j, side, node, print, text): the rows
+    of one (root, i, j) are one block or a pair of blocks of a candidate component."""
+
+    def run(batches):
+        key, held, seen = None, [], set()
+
+        def close():
+            if len(held) > 1:
+                nodes, prints, sets, sides = zip(*held)
+                pairs = list(same_shingles(nodes, np.array(prints, np.int64).view(np.uint64), list(sets), np.array(sides), key[1] != key[2], radius, similarity))
+                if pairs:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*pairs)], names=["a", "b"])
+
+        for batch in batches:
+            root, i, j, side, node, prints = (c.to_pylist() for c in batch.columns[:6])
+            for n, text in enumerate(batch.column(6)):
+                if (root[n], i[n], j[n]) != key:
+                    yield from close()
+                    key, held, seen = (root[n], i[n], j[n]), [], set()
+                if node[n] not in seen:  # copies of a text
+                    seen.add(node[n])
+                    held.append((node[n], prints[n], frozenset(shingle_hashes(text.as_py(), shingle)), side[n]))
+        yield from close()
+
+    return members.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node").mapInArrow(run, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 6, block: int = 2048) -> DataFrame:
+    """(doc_id, node, root): documents with one root are copies or are joined by links of texts whose
+    word shingles have at least this Jaccard similarity. Candidates are texts whose fingerprints of
+    weighted words differ in at most ``radius`` bits; the covering tables miss none of those. Candidate
+    components over ``block`` texts are compared in pairs of blocks, so no task holds more than two.
+    node is a 64-bit digest of the text."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+
+    def run(batches):
+        for batch in batches:
+            values = [word_print(x.as_py()) for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(values, pa.int64())], names=["doc_id", "node", "print"])
+
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("node"), text.cast("binary").alias("text"))
+    marked = settle(own.mapInArrow(run, "doc_id long, node long, print long"))
+    texts = marked.groupBy("node").agg(F.first("print").alias("print"))
+    roots = components(near_links(texts.select("print").distinct(), radius, 1 << 14))
+    placed = texts.join(roots.select(F.col("node").alias("own_print"), "root"), F.col("print") == F.col("own_print"), "left").select("node", "print", F.coalesce("root", "print").alias("root"))
+    placed = settle(placed)
+    sizes = placed.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("root").alias("of"), F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    members = placed.join(sizes, F.col("root") == F.col("of")).select("root", "node", "print", "blocks", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int").alias("side"))
+    spread = members.select("root", "side", "node", "print", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x")).select("root", F.least("side", "x").alias("i"), F.greatest("side", "x").alias("j"), "side", F.col("node").alias("member"), "print")
+    rows = spread.join(own.select("node", "text"), F.col("member") == F.col("node")).select("root", "i", "j", "side", "node", "print", "text")
+    joined = components(settle(shingle_links(rows, shingle, radius, similarity)))
+    return marked.join(joined.select(F.col("node").alias("linked"), "root"), F.col("node") == F.col("linked"), "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
+
+
+def one_of_each(docs: DataFrame, columns: tuple[str, ...] = DOC_COLUMNS, **how) -> DataFrame:
+    """The documents without all but one of each near-duplicate class: the smallest doc_id stays, a null
+    id only where there is no other; equal rows count as copies."""
+    found = settle(near_duplicates(docs, **how))
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "node")
+    best = found.groupBy("root").agg(F.min(place).alias("best")).select(F.col("best.doc_id").alias("kept_id"), F.col("best.node").alias("kept_node"))
+    node = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    match = docs["doc_id"].cast("long").eqNullSafe(F.col("kept_id")) & (node == F.col("kept_node"))
+    kept = docs.join(best, match, "left_semi").select(*columns)
+    twins = settle(found.groupBy("doc_id", "node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("kept_id"), F.col("node").alias("kept_node")))
+    if twins.isEmpty():
+        return kept
+    twin = kept["doc_id"].cast("long").eqNullSafe(F.col("kept_id")) & (F.xxhash64(F.coalesce(kept["text"].cast("string"), F.lit(""))) == F.col("kept_node"))
+    return kept.join(twins, twin, "left_anti").unionByName(kept.join(twins, twin, "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
 def hex_print(column: str = "print"):
     return F.lpad(F.lower(F.hex(F.col(column))), 16, "0")
 
