@@ -51,7 +51,7 @@ def scripted(name: str, text: str, *tables: str, loose: bool = False, sql: str |
         catalog.parquet(*tables)
         return list(run(spark, text, catalog, loose))[-1]
 
-    register(name, over, (sql or text) if oracle else None)
+    register(name, over, (sql or text).rstrip(" ;") if oracle else None)
 
 
 def cents(c):
