@@ -180,18 +180,20 @@ def masked(rows: DataFrame, which: list[int], index: str, key: str) -> DataFrame
     return numbered.select(*rows.columns[:-1], F.col(index).cast("long").alias(index), F.col("print").bitwiseAND(F.col("__mask")).alias(key), "print")
 
 
-def near_links(prints: DataFrame, radius: int = 3, bucket: int = BUCKET) -> DataFrame:
-    """Links between distinct fingerprints (column ``print``) that connect all pairs within the radius."""
+def near_links(prints: DataFrame, radius: int = 3, bucket: int = BUCKET, reach: int | None = None) -> DataFrame:
+    """Links between distinct fingerprints (column ``print``) that connect all pairs within the radius.
+    With a ``reach`` over the radius, pairs up to it are linked as well where they meet in a table."""
+    reach = reach or radius
     first = masks(radius)
     rows = masked(prints.select("print"), first, "t", "key")
-    found = settle(verified(rows, radius, bucket))
+    found = settle(verified(rows, reach, bucket))
     links, crowded = found.filter("a is not null").select("a", "b"), found.filter("a is null").select("t", "key")
     if crowded.isEmpty():
         return links
     again = rows.join(crowded, ["t", "key"], "left_semi").select("t", "key", "print")
     for v in [r[0] for r in crowded.select("t").distinct().collect()]:
         finer = masked(again.filter(F.col("t") == v), masks(radius, ~first[v] & (1 << 64) - 1), "t2", "key2")
-        links = links.unionByName(verified(finer, radius, None).select("a", "b"))
+        links = links.unionByName(verified(finer, reach, None).select("a", "b"))
     return links
 
 
@@ -273,11 +275,11 @@ def shingle_links(members: DataFrame, shingle: int, radius: int, similarity: flo
     return members.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 6, block: int = 2048) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 6, reach: int = 12, block: int = 2048) -> DataFrame:
     """(doc_id, node, root): documents with one root are copies or are joined by links of texts whose
     word shingles have at least this Jaccard similarity. Candidates are texts whose fingerprints of
-    weighted words differ in at most ``radius`` bits; the covering tables miss none of those. Candidate
-    components over ``block`` texts are compared in pairs of blocks, so no task holds more than two.
+    weighted words differ in at most ``radius`` bits, of which the covering tables miss none, and those
+    up to ``reach`` bits that meet in some table. Candidate components over ``block`` texts are compared in pairs of blocks, so no task holds more than two.
     node is a 64-bit digest of the text."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
 
@@ -289,14 +291,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("node"), text.cast("binary").alias("text"))
     marked = settle(own.mapInArrow(run, "doc_id long, node long, print long"))
     texts = marked.groupBy("node").agg(F.first("print").alias("print"))
-    roots = components(near_links(texts.select("print").distinct(), radius, 1 << 14))
+    roots = components(near_links(texts.select("print").distinct(), radius, 1 << 14, reach))
     placed = texts.join(roots.select(F.col("node").alias("own_print"), "root"), F.col("print") == F.col("own_print"), "left").select("node", "print", F.coalesce("root", "print").alias("root"))
     placed = settle(placed)
     sizes = placed.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("root").alias("of"), F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     members = placed.join(sizes, F.col("root") == F.col("of")).select("root", "node", "print", "blocks", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int").alias("side"))
     spread = members.select("root", "side", "node", "print", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x")).select("root", F.least("side", "x").alias("i"), F.greatest("side", "x").alias("j"), "side", F.col("node").alias("member"), "print")
     rows = spread.join(own.select("node", "text"), F.col("member") == F.col("node")).select("root", "i", "j", "side", "node", "print", "text")
-    joined = components(settle(shingle_links(rows, shingle, radius, similarity)))
+    joined = components(settle(shingle_links(rows, shingle, reach, similarity)))
     return marked.join(joined.select(F.col("node").alias("linked"), "root"), F.col("node") == F.col("linked"), "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
 
 
