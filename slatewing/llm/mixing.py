@@ -28,9 +28,11 @@ import heapq
 import math
 import uuid
 from collections import Counter
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +41,7 @@ from slatewing.llm.common import LOWER_ASCII, held_out, stored, table
 WORDS = (1 << 18) - 1
 LANE = 1024
 DEEP = 5
-MOST_BITS = 22
+MOST_BITS = 20
 PARTS = 64
 SUB = 4_000_000
 UNIT = 16.0
@@ -151,7 +153,7 @@ class Coder:
         return CACHE["index"]
 
     def ranks(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.index().get, words, repeat_minus()), np.int64, len(words))
+        return np.fromiter(map(self.index().get, words, repeat(-1)), np.int64, len(words))
 
     def decisions(self, ranks: np.ndarray, first: np.ndarray):
         """(node, bit, slot1, slot2, bits of each token); ``first`` marks a text's first token."""
@@ -188,12 +190,6 @@ class Coder:
 CACHE: dict = {}
 
 
-def repeat_minus():
-    from itertools import repeat
-
-    return repeat(-1)
-
-
 def flat(batch_texts, most: int):
     """Lists of token lists with about ``most`` tokens together."""
     part, held = [], 0
@@ -209,7 +205,7 @@ def flat(batch_texts, most: int):
 
 
 def joined(part: list[list[bytes]]):
-    words = [w for x in part for w in x]
+    words = list(chain.from_iterable(part))
     sizes = np.fromiter(map(len, part), np.int64, len(part))
     first = np.zeros(len(words), bool)
     first[np.cumsum(sizes) - sizes] = True
@@ -394,7 +390,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         model = shared.value
         known = len(model.log_counts)
         for batch in batches:
-            at = 0
+            at, bounds = 0, np.r_[0, np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0))]
             for part in flat(batch.column(1), SUB // 16):
                 words, sizes, first = joined(part)
                 ranks = model.coder.ranks(words)
@@ -411,7 +407,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 rare = spelled
                 owner = np.searchsorted(starts, rare, side="right") - 1
                 offsets = np.searchsorted(owner, np.arange(len(sizes) + 1)).astype(np.int32)
-                n_bytes = np.fromiter((len(x) for x in (batch.column(1)[at + i].as_py() or b"" for i in range(len(sizes)))), np.int64, len(sizes))
+                n_bytes = np.diff(bounds[at : at + len(sizes) + 1])
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.arange(serial, serial + len(sizes))), batch.column(0).slice(at, len(sizes)), batch.column(2).slice(at, len(sizes)), pa.array(sizes), pa.array(add(seen.astype(np.int64))),
