@@ -6,7 +6,7 @@ sample's vectors give the latent space. Every document's cosines with all labell
 computed in blocks, and its ``neighbours`` nearest vote with a power of their cosine as weight.
 
 The sample is bounded: at most ``sample`` labelled rows, the first by the hash of the id, whatever the
-input's size; only it is collected and broadcast. Scoring passes once over all whole texts and shuffles
+input's size; the model is fitted to it in one task, and only the model is broadcast. Scoring passes once over all whole texts and shuffles
 nothing.
 
 Defined results: null and empty texts get the share of label 1 in the sample; without any usable label
@@ -18,6 +18,7 @@ unless columns to keep are named; clashing names in the label table do no harm.
 from __future__ import annotations
 
 import operator
+import pickle
 
 import numpy as np
 import pyarrow as pa
@@ -98,13 +99,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # Ids may repeat: the second limit bounds what is collected.
     rows = texts.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(sample).select(F.col("text").cast("binary").alias("text"), "label")
 
-    def describe(batches):
+    def learn(batches):
+        matrix, known = [], []
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([features(x.as_py()).tobytes() for x in batch.column(0)], pa.binary()), batch.column(1)], names=["row", "label"])
-
-    got = rows.mapInArrow(describe, "row binary, label int").toArrow()
-    matrix = np.frombuffer(b"".join(got.column("row").to_pylist()), np.float32).reshape(-1, GRAMS + SHAPES)
-    return LatentVote(matrix, got.column("label").to_numpy(), dims, neighbours, power)
+            matrix += [features(x.as_py()) for x in batch.column(0)]
+            known += batch.column(1).to_pylist()
+        if known:
+            model = LatentVote(np.stack(matrix), np.array(known), dims, neighbours, power)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    # Fitted in one task, so that neither the sample nor its matrices come to the driver.
+    got = rows.coalesce(1).mapInArrow(learn, "model binary").collect()
+    return pickle.loads(got[0][0]) if got else LatentVote(np.zeros((0, GRAMS + SHAPES), np.float32), np.zeros(0), dims, neighbours, power)
 
 
 def scored(docs: DataFrame, model: LatentVote, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), least: float | None = None, block: int = 512) -> DataFrame:
