@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from slatewing.sources.storage import scratch, shared_dir
+
 DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LOWER_ASCII = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -18,22 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir. Only where that is unset (tests on
-    one machine) a temporary folder of our own is set instead."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='slatewing-')}"
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/slatewing-{label}-{uuid.uuid4().hex}"
-
-
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage: the rows lie in the shared folder and survive lost executors."""
     shared_dir(df.sparkSession)

@@ -6,8 +6,8 @@ sample's vectors give the latent space. Every document's cosines with all labell
 computed in blocks, and its ``neighbours`` nearest vote with a power of their cosine as weight.
 
 The sample is bounded: at most ``sample`` labelled rows, the first by the hash of the id, whatever the
-input's size; the model is fitted to it in one task, and only the model is broadcast. Scoring passes once over all whole texts and shuffles
-nothing.
+input's size; the model is fitted to it in one task, and only the model is broadcast. Scoring passes
+once over all whole texts and shuffles nothing.
 
 Defined results: null and empty texts get the share of label 1 in the sample; without any usable label
 every score is 0.5. Labels that are null or not 0 or 1 are passed over; of several labels for one id the

@@ -130,8 +130,9 @@ def write_archives(rows: DataFrame, folder: str, level: int = 3, frame_bytes: in
     The payloads were dealt out by the join (or the scan) already, in parts of the session's usual
     size, and aren't shuffled again.
 
-    A file appears under its name only when it is whole: each attempt writes a file of its own and
-    then moves it, so a lost executor leaves no torn archive."""
+    A file appears under its name only when it is whole, and every attempt of a task has a name of its
+    own, which the index of that attempt names: a lost executor or a second attempt leaves at most a
+    file that no index entry points to, never a torn or a changed one."""
 
     def write(batches):
         import os
@@ -142,8 +143,8 @@ def write_archives(rows: DataFrame, folder: str, level: int = 3, frame_bytes: in
         context = TaskContext.get()
         store, base = fs.FileSystem.from_uri(folder)
         store.create_dir(base, recursive=True)
-        name = f"part-{context.partitionId():06d}.warc.zst"
-        attempt = f"{base}/.{name}.{context.taskAttemptId()}-{os.getpid()}"
+        name = f"part-{context.partitionId():06d}-{context.taskAttemptId()}.warc.zst"
+        attempt = f"{base}/.{name}.{os.getpid()}"
         sink = writer = None
         where = []
         for pdf in batches:
