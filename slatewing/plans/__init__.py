@@ -1,0 +1 @@
+"""Scripts and the catalogue of queries."""

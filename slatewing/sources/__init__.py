@@ -1,0 +1 @@
+"""Declared types, catalogs, files and indexes."""
