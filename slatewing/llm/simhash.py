@@ -100,47 +100,52 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def spanning(prints: np.ndarray, radius: int):
-    """A spanning forest of the links among some fingerprints, as pairs of positions."""
+def spanning(prints: np.ndarray, known: np.ndarray, radius: int):
+    """Links (pairs of positions) that connect what the radius connects, given that rows with the same
+    ``known`` value are connected already."""
     left = np.arange(len(prints))
     while len(left) > 1:
-        queue, left = [left[0]], left[1:]
+        same = known[left] == known[left[0]]
+        queue, left = left[same].tolist(), left[~same]
         while queue and len(left):
             at = queue.pop()
-            near = np.bitwise_count(prints[left] ^ prints[at]) <= radius
-            for b in left[near]:
-                yield at, b
-                queue.append(b)
-            left = left[~near]
+            near = left[np.bitwise_count(prints[left] ^ prints[at]) <= radius]
+            if len(near):
+                roots, one = np.unique(known[near], return_index=True)
+                for b in near[one].tolist():
+                    yield at, b
+                joined = np.isin(known[left], roots)
+                queue += left[joined].tolist()
+                left = left[~joined]
 
 
 def verified(rows: DataFrame, radius: int, bucket: int | None) -> DataFrame:
-    """Links (a, b) inside the buckets of rows (keys..., print); a bucket's rows stream by in order. A
-    bucket over the limit gives a row with its keys and null links instead, and isn't held."""
-    keys = [c for c in rows.columns if c != "print"]
+    """Links (a, b) inside the buckets of rows (keys..., known, print); a bucket's rows stream by in
+    order. A bucket over the limit gives a row with its keys and null links instead, and isn't held."""
+    keys = [c for c in rows.columns if c not in ("known", "print")]
 
     def links(cells: np.ndarray):
         """For whole buckets: small ones by shifted comparison, larger ones by a forest."""
-        edge = np.flatnonzero(np.r_[True, (cells[:-1, 1:] != cells[:-1, :-1]).any(axis=0)])
+        edge = np.flatnonzero(np.r_[True, (cells[:-2, 1:] != cells[:-2, :-1]).any(axis=0)])
         size = np.diff(np.r_[edge, cells.shape[1]])
-        prints, group = cells[-1].copy().view(np.uint64), np.repeat(np.arange(len(size)), size)
+        known, prints, group = cells[-2], cells[-1].copy().view(np.uint64), np.repeat(np.arange(len(size)), size)
         small = np.repeat(size <= SMALL, size)
         most = int(size[size <= SMALL].max(initial=0))
         a, b = [], []
         for d in range(1, most):
-            near = np.flatnonzero(small[:-d] & (group[d:] == group[:-d]))
+            near = np.flatnonzero(small[:-d] & (group[d:] == group[:-d]) & (known[d:] != known[:-d]))
             near = near[np.bitwise_count(prints[near + d] ^ prints[near]) <= radius]
             a.append(prints[near])
             b.append(prints[near + d])
         over = size > (bucket or len(prints))
         for e, n in zip(edge[(size > SMALL) & ~over], size[(size > SMALL) & ~over]):
-            pairs = np.array(list(spanning(prints[e : e + n], radius)), np.int64).reshape(-1, 2)
+            pairs = np.array(list(spanning(prints[e : e + n], known[e : e + n], radius)), np.int64).reshape(-1, 2)
             a.append(prints[e + pairs[:, 0]])
             b.append(prints[e + pairs[:, 1]])
         a, b = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (a, b))
         yield packed(pa.array(a.view(np.int64)), pa.array(b.view(np.int64)))
         if over.any():
-            yield crowd(cells[:-1, edge[over]])
+            yield crowd(cells[:-2, edge[over]])
 
     def crowd(keys_of: np.ndarray):
         return packed(None, None, [pa.array(np.ascontiguousarray(x)) for x in keys_of])
@@ -151,52 +156,66 @@ def verified(rows: DataFrame, radius: int, bucket: int | None) -> DataFrame:
         return pa.RecordBatch.from_arrays([gap if a is None else a, gap if b is None else b, *(of or [gap] * len(keys))], names=["a", "b", *keys])
 
     def run(batches):
-        rest, skipped = np.zeros((len(keys) + 1, 0), np.int64), None
+        rest, skipped = np.zeros((len(keys) + 2, 0), np.int64), None
         for batch in batches:
             cells = np.stack([np.asarray(x) for x in batch.columns])
             if skipped is not None:
-                cells = cells[:, (cells[:-1] != skipped[:, None]).any(axis=0)]
+                cells = cells[:, (cells[:-2] != skipped[:, None]).any(axis=0)]
             cells = np.concatenate([rest, cells], axis=1)
             if not cells.shape[1]:
                 continue
-            last = (cells[:-1] == cells[:-1, -1:]).all(axis=0)
+            last = (cells[:-2] == cells[:-2, -1:]).all(axis=0)
             whole = cells.shape[1] - int(last.sum())
             rest = cells[:, whole:]
             if whole:
                 yield from links(cells[:, :whole])
             if bucket and rest.shape[1] > bucket:
-                skipped, rest = rest[:-1, 0].copy(), rest[:, :0]
+                skipped, rest = rest[:-2, 0].copy(), rest[:, :0]
                 yield crowd(skipped[:, None])
         if rest.shape[1]:
             yield from links(rest)
 
     schema = ", ".join(f"{c} long" for c in ("a", "b", *keys))
-    return rows.select(*keys, "print").repartition(*keys).sortWithinPartitions(*keys, "print").mapInArrow(run, schema)
+    return rows.select(*keys, "known", "print").repartition(*keys).sortWithinPartitions(*keys, "print").mapInArrow(run, schema)
 
 
-def masked(rows: DataFrame, which: list[int], index: str, key: str) -> DataFrame:
-    """A row for each mask: its number and the fingerprint's kept bits."""
-    numbered = rows.select("*", F.posexplode(F.array(*[F.lit(signed(m)) for m in which])).alias(index, "__mask"))
-    return numbered.select(*rows.columns[:-1], F.col(index).cast("long").alias(index), F.col("print").bitwiseAND(F.col("__mask")).alias(key), "print")
+def masked(rows: DataFrame, which: dict[int, int], index: str, key: str) -> DataFrame:
+    """A row for each numbered mask: its number and the fingerprint's kept bits."""
+    table = F.array(*[F.struct(F.lit(t).cast("long").alias("t"), F.lit(signed(m)).alias("m")) for t, m in which.items()])
+    return rows.select("*", F.explode(table).alias("__of")).select(*rows.columns[:-2], F.col("__of.t").alias(index), F.col("print").bitwiseAND(F.col("__of.m")).alias(key), "known", "print")
 
 
-def near_links(prints: DataFrame, radius: int = 3, bucket: int = BUCKET, reach: int | None = None) -> DataFrame:
-    """Links between distinct fingerprints (column ``print``) that connect all pairs within the radius.
-    With a ``reach`` over the radius, pairs up to it are linked as well where they meet in a table."""
-    reach = reach or radius
-    first = masks(radius)
-    rows = masked(prints.select("print"), first, "t", "key")
+def table_links(prints: DataFrame, which: dict[int, int], radius: int, bucket: int, reach: int) -> DataFrame:
+    """Links by some of the tables, for rows (known, print)."""
+    rows = masked(prints, which, "t", "key")
     found = settle(verified(rows, reach, bucket))
     links, crowded = found.filter("a is not null").select("a", "b"), found.filter("a is null").select("t", "key")
     if crowded.isEmpty():
         return links
-    again = rows.join(crowded, ["t", "key"], "left_semi").select("t", "key", "print")
-    for v in [r[0] for r in crowded.select("t").distinct().collect()]:
-        finer = masked(again.filter(F.col("t") == v), masks(radius, ~first[v] & (1 << 64) - 1), "t2", "key2")
+    again = rows.join(crowded, ["t", "key"], "left_semi").select("t", "key", "known", "print")
+    for v in [r[0] for r in crowded.select("t").distinct().collect()]:  # at most one for each table
+        finer = masked(again.filter(F.col("t") == v), dict(enumerate(masks(radius, ~which[v] & (1 << 64) - 1))), "t2", "key2")
         links = links.unionByName(verified(finer, reach, None).select("a", "b"))
     return links
 
 
+def near_links(prints: DataFrame, radius: int = 3, bucket: int = BUCKET, reach: int | None = None, early: int = 0) -> DataFrame:
+    """Links between distinct fingerprints (column ``print``) that connect all pairs within the radius.
+    With a ``reach`` over the radius, pairs up to it are linked as well where they meet in a table. The
+    first ``early`` tables are joined to components (given as links to their root) before the others are
+    looked at, which then only link what isn't connected yet: a large group isn't linked anew by every
+    table."""
+    every = dict(enumerate(masks(radius)))
+    first = {t: m for t, m in every.items() if t < early} or every
+    links = table_links(prints.select(F.col("print").alias("known"), "print"), first, radius, bucket, reach or radius)
+    if len(first) == len(every):
+        return links
+    stars = components(links).select("node", "root")
+    placed = settle(prints.join(stars, F.col("print") == F.col("node"), "left").select(F.coalesce("root", "print").alias("known"), "print"))
+    others = {t: m for t, m in every.items() if t not in first}
+    return stars.filter("node <> root").toDF("a", "b").unionByName(table_links(placed, others, radius, bucket, reach or radius))
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
     """(doc_id, print, component_id): component_id is the smallest doc_id that links of at most
     ``radius`` differing bits reach, itself included."""
@@ -291,7 +310,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("node"), text.cast("binary").alias("text"))
     marked = settle(own.mapInArrow(run, "doc_id long, node long, print long"))
     texts = marked.groupBy("node").agg(F.first("print").alias("print"))
-    roots = components(near_links(texts.select("print").distinct(), radius, 1 << 14, reach))
+    roots = components(near_links(texts.select("print").distinct(), radius, 1 << 14, reach, early=8))
     placed = texts.join(roots.select(F.col("node").alias("own_print"), "root"), F.col("print") == F.col("own_print"), "left").select("node", "print", F.coalesce("root", "print").alias("root"))
     placed = settle(placed)
     sizes = placed.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("root").alias("of"), F.ceil(F.col("n") / block).cast("int").alias("blocks"))
