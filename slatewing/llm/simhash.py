@@ -314,6 +314,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = texts.join(roots.select(F.col("node").alias("own_print"), "root"), F.col("print") == F.col("own_print"), "left").select("node", "print", F.coalesce("root", "print").alias("root"))
     placed = settle(placed)
     sizes = placed.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("root").alias("of"), F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    sizes = settle(sizes)  # with an exchange of its own, so that the join below can split a large component
     members = placed.join(sizes, F.col("root") == F.col("of")).select("root", "node", "print", "blocks", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int").alias("side"))
     spread = members.select("root", "side", "node", "print", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x")).select("root", F.least("side", "x").alias("i"), F.greatest("side", "x").alias("j"), "side", F.col("node").alias("member"), "print")
     rows = spread.join(own.select("node", "text"), F.col("member") == F.col("node")).select("root", "i", "j", "side", "node", "print", "text")
