@@ -25,7 +25,7 @@ from slatewing.llm.words import shifted, text_keys, word_array
 
 MASKS = ("111111", "1110111", "11001111", "101101011")
 LEAST = 9
-PART = 1 << 20
+PART = 1 << 19
 
 
 def seeds(row: str, masks) -> list:
@@ -54,23 +54,25 @@ def stretch(words, item):
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", masks=MASKS, least: int = LEAST) -> DataFrame:
     """(doc_id, k1, k2, item_id, first_word, score, n_item_words): the best overlap of each document
     with each item that it overlaps; first_word may be negative where the item's start is cut off."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), word_array(item_text).alias("w"))
-    size = items.select(F.sum(F.size("w"))).first()[0] or 0
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), word_array(item_text).alias("item")).distinct().withColumn("item_key", F.xxhash64("item_id", "item"))
+    size = items.select(F.sum(F.size("item"))).first()[0] or 0
     parts = -(-size * len(masks) // PART) or 1
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), *text_keys(text_col), word_array(text_col).alias("w"))
     grown, found = seeded(texts, masks), None
     for part in range(parts):
-        own = items.filter(F.abs(F.xxhash64("w") % parts) == part)
-        known = seeded(own.withColumnRenamed("w", "item").withColumn("w", F.col("item")), masks).select("item_id", "item", F.col("pos").alias("place"), "seed")
+        own = items.filter(F.pmod("item_key", F.lit(parts)) == part)
+        known = seeded(own.select("item_key", F.size("item").alias("n_item_words"), F.col("item").alias("w")), masks).select("item_key", "n_item_words", F.col("pos").alias("place"), "seed")
         hits = grown.join(F.broadcast(known), "seed").withColumn("first_word", F.col("pos") - F.col("place"))
         begin = F.greatest(F.col("first_word"), F.lit(0))
         skipped = begin - F.col("first_word")
-        length = F.least(F.size("item") - skipped, F.size("w") - begin)
-        kept = hits.select("doc_id", "k1", "k2", "item_id", "first_word", F.size("item").alias("n_item_words"), F.slice("w", begin + 1, length).alias("around"), F.slice("item", skipped + 1, length).alias("own"))
+        length = F.least(F.col("n_item_words") - skipped, F.size("w") - begin)
         # One row for each diagonal; the comparison comes after it, or it would be drawn into the join
         # and take the join and the word arrays out of generated code.
-        lines = kept.groupBy("doc_id", "k1", "k2", "item_id", "first_word", "n_item_words").agg(F.first("around").alias("around"), F.first("own").alias("own"))
-        scored = lines.select("doc_id", "k1", "k2", "item_id", "first_word", "n_item_words", stretch(F.col("around"), F.col("own")).alias("score")).filter(F.col("score") >= least)
+        near = hits.select("doc_id", "k1", "k2", "item_key", "first_word", F.slice("w", begin + 1, length).alias("around"))
+        lines = near.groupBy("doc_id", "k1", "k2", "item_key", "first_word").agg(F.first("around").alias("around"))
+        placed = lines.join(F.broadcast(own), "item_key")
+        beside = F.slice("item", F.greatest(-F.col("first_word"), F.lit(0)) + 1, F.size("around"))
+        scored = placed.select("doc_id", "k1", "k2", "item_id", "first_word", F.size("item").alias("n_item_words"), stretch(F.col("around"), beside).alias("score")).filter(F.col("score") >= least)
         best = scored.groupBy("doc_id", "k1", "k2", "item_id").agg(F.max(F.struct("score", (-F.col("first_word")).alias("early"), "n_item_words")).alias("m")).select("doc_id", "k1", "k2", "item_id", (-F.col("m.early")).alias("first_word"), "m.score", "m.n_item_words")
         found = best if found is None else found.unionByName(best)
     return found
