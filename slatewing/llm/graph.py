@@ -15,28 +15,34 @@ from pyspark.sql import functions as F
 
 from slatewing.llm.common import settle
 
+PER_TASK = 200_000
 
-def large_star(links: DataFrame) -> DataFrame:
+
+def large_star(links: DataFrame, tasks: int) -> DataFrame:
     """Every larger neighbour of a node is linked to the node's smallest neighbour (or itself)."""
     both = links.unionByName(links.select(F.col("low").alias("high"), F.col("high").alias("low"))).toDF("node", "other")
     least = both.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("least"))
-    return both.filter("other > node").join(least, "node").select(F.col("other").alias("high"), F.col("least").alias("low")).filter("high > low").distinct()
+    moved = both.filter("other > node").join(least, "node").select(F.col("other").alias("high"), F.col("least").alias("low")).filter("high > low")
+    return moved.coalesce(tasks).distinct().coalesce(tasks)
 
 
-def small_star(links: DataFrame) -> DataFrame:
+def small_star(links: DataFrame, tasks: int) -> DataFrame:
     """A node and its smaller neighbours are linked to the smallest of them."""
     least = links.groupBy("high").agg(F.min("low").alias("least"))
     moved = links.join(least, "high").filter("low > least").select(F.col("low").alias("high"), F.col("least").alias("low"))
-    return moved.unionByName(least.select("high", F.col("least").alias("low"))).distinct()
+    return moved.unionByName(least.select("high", F.col("least").alias("low"))).coalesce(tasks).distinct().coalesce(tasks)
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, root) for every node with a link; root is the smallest node of its component."""
+    """(node, root) for every node with a link; root is the smallest node of its component. The tables
+    between the steps have a task for every ``PER_TASK`` links: without that, a small link table would
+    leave a file for each of the session's shuffle partitions at every step."""
     now = settle(links.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("high"), F.least(a, b).alias("low")).distinct())
     state = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("high", "low").cast("decimal(38,0)"))).first())
     before = state(now)
     while before[0]:
-        now = settle(small_star(large_star(now)))
+        tasks = 1 + before[0] // PER_TASK
+        now = settle(small_star(large_star(now.coalesce(tasks), tasks), tasks))
         after = state(now)
         if after == before:
             break
