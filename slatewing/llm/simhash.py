@@ -1,10 +1,10 @@
 """SimHash near-duplicates by covering locality-sensitive hashing.
 
 Fingerprints: the majority of each bit over the XXH64 values of all word shingles, repeats included.
-Tables: a fixed map sends the 64 bit positions to the nonzero vectors of F2^(r+1), and each nonzero
-vector v keeps the positions not orthogonal to it. Any r differing positions leave some v orthogonal to
-all of them, so two fingerprints at distance r or less agree on all kept bits of some table: the
-2^(r+1)-1 tables miss no pair within the radius.
+Tables: a fixed map sends the 64 bit positions to vectors of F2^(r+1), and each vector v keeps the
+positions not orthogonal to it. Any r differing positions leave some nonzero v orthogonal to all of
+them, so two fingerprints at distance r or less agree on all kept bits of some table: the 2^(r+1)-2
+tables miss no pair within the radius, and each keeps 32 bits.
 
 Work is on distinct fingerprints, so a group of copies of any size is one node. A bucket over
 ``BUCKET`` fingerprints is split again by the same masks over the bits that it does not fix: pairs
@@ -90,10 +90,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def masks(radius: int, bits: int = (1 << 64) - 1) -> list[int]:
-    """The covering masks over the set positions of ``bits``, as unsigned numbers."""
-    size = (1 << (radius + 1)) - 1
+    """The covering masks over the set positions of ``bits``, as unsigned numbers. Positions get the
+    vectors of F2^(r+1) with the first coordinate 1, in turn (an odd step spreads them): the masks are words of a first-order
+    Reed-Muller code, and each keeps half of the positions (if their number is a multiple of 2^r). The
+    one that would keep all is left out: it isn't orthogonal to any of those vectors."""
+    size = 1 << radius
     places = [i for i in range(64) if bits >> i & 1]
-    return [sum(1 << p for i, p in enumerate(places) if ((1 + i % size) & v).bit_count() & 1) for v in range(1, size + 1)]
+    return [sum(1 << p for i, p in enumerate(places) if ((size | i * 45 % size) & v).bit_count() & 1) for v in range(1, 2 * size) if v != size]
 
 
 def signed(x: int) -> int:
