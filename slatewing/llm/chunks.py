@@ -84,7 +84,8 @@ def batch_bounds(texts: list[bytes]) -> list[list[int]]:
 
 
 def chunk_rows(texts: DataFrame) -> DataFrame:
-    """(d1, d2, doc_id, k1, start, size) of every chunk of rows (doc_id, k1, text as bytes)."""
+    """(d1, d2, doc_id, k1, at) of every chunk of rows (doc_id, k1, text as bytes); ``at`` is the start
+    times 256 plus the size."""
 
     def run(batches):
         from xxhash import xxh3_128_digest as digest
@@ -110,11 +111,11 @@ def chunk_rows(texts: DataFrame) -> DataFrame:
                     pair = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
                     which = np.repeat(np.arange(first, k), counts)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), ids.take(pa.array(which)), pa.array(keys[which]), pa.array(np.concatenate(starts).astype(np.int32)), pa.array(np.concatenate(sizes).astype(np.int32))],
-                        names=["d1", "d2", "doc_id", "k1", "start", "size"],
+                        [pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), ids.take(pa.array(which)), pa.array(keys[which]), pa.array(np.concatenate(starts) << 8 | np.concatenate(sizes))],
+                        names=["d1", "d2", "doc_id", "k1", "at"],
                     )
 
-    return texts.mapInArrow(run, "d1 long, d2 long, doc_id long, k1 long, start int, size int")
+    return texts.mapInArrow(run, "d1 long, d2 long, doc_id long, k1 long, at long")
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -122,9 +123,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     text = F.col(text_col).cast("string")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("k1"), text.cast("binary").alias("text")).filter(F.length("text") > 0)
     rows = chunk_rows(texts)  # cut twice: that costs less than storing them
-    place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "k1", "start")
+    place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "k1", "at")
     known = rows.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("d1", "d2", "first")
-    again = rows.join(known, ["d1", "d2"]).select("doc_id", "k1", "start", "size", (place == F.col("first")).alias("first")).distinct()
+    again = rows.join(known, ["d1", "d2"]).select("doc_id", "k1", F.shiftright("at", 8).alias("start"), F.col("at").bitwiseAND(255).alias("size"), (place == F.col("first")).alias("first")).distinct()
     return again.groupBy("doc_id", "k1").agg(F.array_sort(F.collect_list(F.struct("start", "size", "first"))).alias("chunks"))
 
 
