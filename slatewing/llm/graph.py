@@ -43,7 +43,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     before = state(now)
     while before[0]:
         tasks = 1 + before[0] // PER_TASK
-        now = settle(small_star(large_star(now.coalesce(tasks), tasks), tasks))
+        now = settle(small_star(settle(large_star(now.coalesce(tasks), tasks)), tasks))
         after = state(now)
         if after == before:
             break
