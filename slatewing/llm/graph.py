@@ -1,7 +1,7 @@
 """Connected components of a link table, by alternating large-star and small-star steps.
 
 Every step is an aggregation to one minimum a node (combined before the shuffle) and a join with that
-table, which adaptive execution splits where a node has very many links; no group is ever collected.
+table, by merging, so that the driver builds no table to broadcast; no group is ever collected.
 The number of steps grows with the logarithm of the longest chain. Only one row (a count and a
 checksum) comes to the driver after each pair of steps.
 
@@ -22,14 +22,14 @@ def large_star(links: DataFrame, tasks: int) -> DataFrame:
     """Every larger neighbour of a node is linked to the node's smallest neighbour (or itself)."""
     both = links.unionByName(links.select(F.col("low").alias("high"), F.col("high").alias("low"))).toDF("node", "other")
     least = both.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("least"))
-    moved = both.filter("other > node").join(least, "node").select(F.col("other").alias("high"), F.col("least").alias("low")).filter("high > low")
+    moved = both.filter("other > node").join(least.hint("merge"), "node").select(F.col("other").alias("high"), F.col("least").alias("low")).filter("high > low")
     return moved.coalesce(tasks).distinct().coalesce(tasks)
 
 
 def small_star(links: DataFrame, tasks: int) -> DataFrame:
     """A node and its smaller neighbours are linked to the smallest of them."""
     least = links.groupBy("high").agg(F.min("low").alias("least"))
-    moved = links.join(least, "high").filter("low > least").select(F.col("low").alias("high"), F.col("least").alias("low"))
+    moved = links.join(least.hint("merge"), "high").filter("low > least").select(F.col("low").alias("high"), F.col("least").alias("low"))
     return moved.unionByName(least.select("high", F.col("least").alias("low"))).coalesce(tasks).distinct().coalesce(tasks)
 
 
