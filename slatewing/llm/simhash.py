@@ -20,14 +20,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from slatewing.llm.common import DOC_COLUMNS, LOWER_ASCII, settle, table
+from slatewing.llm.common import DOC_COLUMNS, LOWER_ASCII, settle, stored, table
 from slatewing.llm.graph import components
 
 BUCKET = 2048
 SMALL = 16
+#: Shingles that a task packs at once, and that a part of their range has on average.
+PACKED, PART_SHINGLES = 1 << 22, 1_500_000
 #: A byte's eight bits spread over the eight bytes of a word, for sums of up to 255 of them.
 SPREAD = np.array([int.from_bytes(bytes((b >> k) & 1 for k in range(8)), "little") for b in range(256)], dtype=np.uint64)
 
@@ -297,31 +299,167 @@ def shingle_links(members: DataFrame, shingle: int, radius: int, similarity: flo
     return members.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 6, reach: int = 12, block: int = 2048) -> DataFrame:
+def packed_shingles(own: DataFrame, shingle: int, parts: int) -> DataFrame:
+    """(part, size, data): every text's different shingles with its node, in parts of the range of the
+    hashes. A piece of data has the sorted hashes as differences, byte plane by byte plane, the places of
+    their nodes in the list of nodes, and that list; so a shingle costs about half of a row of its own."""
+
+    def run(batches):
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=1).compress
+
+        def planes(x):
+            return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+        def flush(nodes, sets):
+            values, owner = np.concatenate(sets), np.repeat(np.array(nodes, np.int64), [len(x) for x in sets])
+            order = np.argsort(values, kind="stable")
+            values, owner = values[order], owner[order]
+            part = (values >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+            edges = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+            rows = []
+            for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(part)]):
+                who, place = np.unique(owner[a:b], return_inverse=True)
+                gaps = np.diff(values[a:b], prepend=np.uint64(0))
+                rows.append((int(part[a]), b - a, pack(planes(gaps) + planes(place.astype("<u4")) + who.tobytes())))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary()))], names=["part", "size", "data"])
+
+        nodes, sets, held = [], [], 0
+        for batch in batches:
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                hashes = np.unique(np.array(shingle_hashes(text.as_py(), shingle), np.uint64))
+                if len(hashes):
+                    nodes.append(node)
+                    sets.append(hashes)
+                    held += len(hashes)
+                if held >= PACKED:
+                    yield from flush(nodes, sets)
+                    nodes, sets, held = [], [], 0
+        if held:
+            yield from flush(nodes, sets)
+
+    return own.select("node", "text").mapInArrow(run, "part int, size int, data binary")
+
+
+def shared_shingles(packed: DataFrame) -> DataFrame:
+    """(node, shingle, df) of the shingles that occur in more than one text; df is in how many."""
+
+    def run(batches):
+        import zstandard
+
+        unpack, at, held = zstandard.ZstdDecompressor().decompress, None, []
+
+        def close():
+            values, nodes = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((nodes, values))
+            values, nodes = values[order], nodes[order]
+            new = np.r_[True, (values[1:] != values[:-1]) | (nodes[1:] != nodes[:-1])]  # copies of a text
+            values, nodes = values[new], nodes[new]
+            edges = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
+            size = np.diff(np.r_[edges, len(values)])
+            df = np.repeat(size, size)
+            some = df > 1
+            columns = nodes[some], values[some].view(np.int64), df[some].astype(np.int64)
+            for a in range(0, len(columns[0]), 1 << 17):
+                yield pa.RecordBatch.from_arrays([pa.array(c[a : a + (1 << 17)]) for c in columns], names=["node", "shingle", "df"])
+
+        for batch in batches:
+            for part, n, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if part != at and held:
+                    yield from close()
+                    held = []
+                at, raw = part, np.frombuffer(unpack(data.as_py()), np.uint8)
+                gaps = np.ascontiguousarray(raw[: 8 * n].reshape(8, n).T).view("<u8").ravel()
+                place = np.ascontiguousarray(raw[8 * n : 12 * n].reshape(4, n).T).view("<u4").ravel()
+                held.append((np.cumsum(gaps, dtype=np.uint64), raw[12 * n :].view("<i8")[place]))
+        if held:
+            yield from close()
+
+    return packed.repartition("part").sortWithinPartitions("part").mapInArrow(run, "node long, shingle long, df long")
+
+
+def enough(pairs: DataFrame, lists: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose Jaccard similarity is enough: what two texts have in common is in the lists
+    of shingles that more than one text has, and n counts all of a text's shingles."""
+    side = lambda c: lists.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("shingles").alias(f"s_{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    common = F.size(F.array_intersect("s_a", "s_b"))
+    return both.filter(common >= F.lit(similarity) * (F.col("n_a") + F.col("n_b") - common)).select("a", "b")
+
+
+def prefix_links(own: DataFrame, placed: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links (a, b) that, with the roots known already, join all texts of enough similarity: none is
+    missed. own has (node, text); placed has (node, n, root), n being the number of different shingles.
+
+    By prefix filtering: in any common order of all shingles, two similar texts share one of the first
+    n - ceil(similarity * n) + 1 shingles of each. The order is by the number of texts, rarest first, so
+    shingles of a single text come first and are no candidates. Of each shared shingle's texts, the
+    neighbours and the first are compared first and joined to components; then all pairs of texts that
+    are not joined yet, so that a large group of near copies doesn't give all its pairs."""
+    total = placed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    shared = shared_shingles(packed_shingles(own, shingle, max(1, -(-total // PART_SHINGLES))))
+    lists = shared.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("found"))
+    lists = stored(lists.join(placed.select("node", "n"), "node").select("node", "n", F.col("found.shingle").alias("shingles")), "shingles")
+    alone = F.col("n") - F.size("shingles")
+    length = F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-6) + 1 - alone
+    first = lists.filter(length > 0).select("node", "n", alone.alias("alone"), F.posexplode(F.slice("shingles", F.lit(1), length.cast("int"))).alias("pos", "shingle"))
+    prefix = settle(first.select("shingle", "node", "n", (F.col("alone") + F.col("pos")).alias("place")).join(placed.select("node", "root"), "node"))
+
+    def possible(x, y):
+        """By the sizes, and by what can follow the first common shingle."""
+        rest = F.least(x("n") - x("place"), y("n") - y("place"))
+        return (x("root") != y("root")) & (rest >= F.lit(similarity / (1 + similarity)) * (x("n") + y("n")) - 1e-6)
+
+    def ordered(pairs):
+        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    own_row = F.struct("node", "n", "place", "root")
+    by = Window.partitionBy("shingle").orderBy("node")
+    ahead = prefix.select(own_row.alias("x"), F.lag(own_row).over(by).alias("before"), F.first(own_row).over(by).alias("head"))
+    stars = ahead.select("x", F.explode(F.array("before", "head")).alias("y")).filter("x.node <> y.node")
+    near = stars.filter(possible(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    tried = settle(ordered(near))
+    links = settle(enough(tried, lists, similarity))
+    old = placed.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    joined = components(old.unionByName(links)).select(F.col("node").alias("member"), F.col("root").alias("now"))
+    rows = settle(prefix.join(joined, F.col("node") == F.col("member"), "left").select("shingle", "node", "n", "place", F.coalesce("now", "node").alias("root")))
+    x, y = rows.alias("x"), rows.alias("y")
+    meet = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.node") < F.col("y.node")) & possible(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}"))
+    others = x.join(y.hint("merge"), meet).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    return links.unionByName(settle(enough(settle(others), lists, similarity)))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 6, reach: int = 12, block: int = 2048, bucket: int = 1 << 14) -> DataFrame:
     """(doc_id, node, root): documents with one root are copies or are joined by links of texts whose
-    word shingles have at least this Jaccard similarity. Candidates are texts whose fingerprints of
-    weighted words differ in at most ``radius`` bits, of which the covering tables miss none, and those
-    up to ``reach`` bits that meet in some table. Candidate components over ``block`` texts are compared in pairs of blocks, so no task holds more than two.
-    node is a 64-bit digest of the text."""
+    word shingles have at least this Jaccard similarity; no such link is missed. Fingerprints of weighted
+    words join most near copies first: texts up to ``radius`` differing bits, and those up to ``reach``
+    that meet in some covering table, are candidates, and candidate components over ``block`` texts are
+    compared in pairs of blocks, so no task holds more than two. What they leave apart, prefix filtering
+    finds. node is a 64-bit digest of the text."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
 
     def run(batches):
         for batch in batches:
             values = [word_print(x.as_py()) for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(values, pa.int64())], names=["doc_id", "node", "print"])
+            sizes = [len(set(shingle_hashes(x.as_py(), shingle))) for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(values, pa.int64()), pa.array(sizes, pa.int64())], names=["doc_id", "node", "print", "n"])
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("node"), text.cast("binary").alias("text"))
-    marked = settle(own.mapInArrow(run, "doc_id long, node long, print long"))
-    texts = marked.groupBy("node").agg(F.first("print").alias("print"))
-    roots = components(near_links(texts.select("print").distinct(), radius, 1 << 14, reach, early=8))
-    placed = texts.join(roots.select(F.col("node").alias("own_print"), "root"), F.col("print") == F.col("own_print"), "left").select("node", "print", F.coalesce("root", "print").alias("root"))
+    marked = settle(own.mapInArrow(run, "doc_id long, node long, print long, n long"))
+    texts = marked.groupBy("node").agg(F.first("print").alias("print"), F.first("n").alias("n"))
+    roots = components(near_links(texts.select("print").distinct(), radius, bucket, reach, early=8))
+    placed = texts.join(roots.select(F.col("node").alias("own_print"), "root"), F.col("print") == F.col("own_print"), "left").select("node", "n", "print", F.coalesce("root", "print").alias("root"))
     placed = settle(placed)
     sizes = placed.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("root").alias("of"), F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     sizes = settle(sizes)  # with an exchange of its own, so that the join below can split a large component
     members = placed.join(sizes, F.col("root") == F.col("of")).select("root", "node", "print", "blocks", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int").alias("side"))
     spread = members.select("root", "side", "node", "print", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x")).select("root", F.least("side", "x").alias("i"), F.greatest("side", "x").alias("j"), "side", F.col("node").alias("member"), "print")
     rows = spread.join(own.select("node", "text"), F.col("member") == F.col("node")).select("root", "i", "j", "side", "node", "print", "text")
-    joined = components(settle(shingle_links(rows, shingle, reach, similarity)))
+    found = settle(components(settle(shingle_links(rows, shingle, reach, similarity))))
+    stars = found.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    known = settle(placed.select("node", "n").join(found.select(F.col("node").alias("member"), "root"), F.col("node") == F.col("member"), "left").select("node", "n", F.coalesce("root", "node").alias("root")))
+    joined = components(stars.unionByName(prefix_links(own, known, shingle, similarity)))
     return marked.join(joined.select(F.col("node").alias("linked"), "root"), F.col("node") == F.col("linked"), "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
 
 

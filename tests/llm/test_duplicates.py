@@ -106,6 +106,34 @@ def test_near_duplicates_by_shingles(spark):
         assert sum(got[i] == got[j] for i, j in links) >= 0.95 * len(links)
 
 
+def edited_copies(seed, kinds):
+    """Texts with copies that have a fifth appended or cut off, or a block replaced."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(3, 9)))
+    texts = []
+    for _ in range(40):
+        base = [word() for _ in range(120)]
+        at = r.randrange(20, 90)
+        copies = {"append": base + [word() for _ in range(r.randint(20, 28))], "cut": base[: r.randint(98, 110)], "block": base[:at] + [word() for _ in range(7)] + base[at + 7 :]}
+        texts += [" ".join(base), *(" ".join(copies[k]) for k in kinds)]
+    return texts
+
+
+def similar_links(texts):
+    sets = [frozenset(simhash.shingle_hashes(t.encode(), 5)) for t in texts]
+    return [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+
+
+@pytest.mark.parametrize("kind", ["append", "cut", "block"])
+def test_every_near_duplicate_is_found(spark, kind):
+    texts = edited_copies(17, [kind])
+    links = similar_links(texts)
+    assert len(links) >= 30
+    got = simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).toPandas().sort_values("doc_id")["root"].tolist()
+    want = roots(len(texts), links)
+    assert len(set(zip(want, got))) == len(set(got)) == len(set(want))
+
+
 def cover(texts, least):
     count = Counter(t[i : i + least] for t in texts for i in range(len(t) - least + 1))
     out = []
