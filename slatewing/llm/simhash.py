@@ -204,21 +204,10 @@ def table_links(prints: DataFrame, which: dict[int, int], radius: int, bucket: i
     return links
 
 
-def near_links(prints: DataFrame, radius: int = 3, bucket: int = BUCKET, reach: int | None = None, early: int = 0) -> DataFrame:
+def near_links(prints: DataFrame, radius: int = 3, bucket: int = BUCKET, reach: int | None = None) -> DataFrame:
     """Links between distinct fingerprints (column ``print``) that connect all pairs within the radius.
-    With a ``reach`` over the radius, pairs up to it are linked as well where they meet in a table. The
-    first ``early`` tables are joined to components (given as links to their root) before the others are
-    looked at, which then only link what isn't connected yet: a large group isn't linked anew by every
-    table."""
-    every = dict(enumerate(masks(radius)))
-    first = {t: m for t, m in every.items() if t < early} or every
-    links = table_links(prints.select(F.col("print").alias("known"), "print"), first, radius, bucket, reach or radius)
-    if len(first) == len(every):
-        return links
-    stars = components(links).select("node", "root")
-    placed = settle(prints.join(stars, F.col("print") == F.col("node"), "left").select(F.coalesce("root", "print").alias("known"), "print"))
-    others = {t: m for t, m in every.items() if t not in first}
-    return stars.filter("node <> root").toDF("a", "b").unionByName(table_links(placed, others, radius, bucket, reach or radius))
+    With a ``reach`` over the radius, pairs up to it are linked as well where they meet in a table."""
+    return table_links(prints.select(F.col("print").alias("known"), "print"), dict(enumerate(masks(radius))), radius, bucket, reach or radius)
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
@@ -247,58 +236,6 @@ def word_print(text: bytes | None) -> int:
     return int(np.packbits(sums * 2 > weight.sum(), bitorder="little").view("<i8")[0])
 
 
-def same_shingles(nodes, prints: np.ndarray, sets: list[frozenset], sides: np.ndarray, both: bool, radius: int, similarity: float):
-    """Links of a block (or between the two sides of a pair of blocks) whose shingles' Jaccard similarity
-    is enough; pairs that earlier links join already are not compared again."""
-    up = list(range(len(nodes)))
-
-    def root(i):
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
-    for i in range(len(nodes)):
-        near = np.flatnonzero(np.bitwise_count(prints[i + 1 :] ^ prints[i]) <= radius) + i + 1
-        if both:
-            near = near[sides[near] != sides[i]]
-        for j in near.tolist():
-            a, b = root(i), root(j)
-            if a != b:
-                common = len(sets[i] & sets[j])
-                if common >= similarity * (len(sets[i]) + len(sets[j]) - common):
-                    up[b] = a
-                    yield nodes[i], nodes[j]
-
-
-def shingle_links(members: DataFrame, shingle: int, radius: int, similarity: float) -> DataFrame:
-    """Verified links (a, b) between texts (node) of rows (root, i, j, side, node, print, text): the rows
-    of one (root, i, j) are one block or a pair of blocks of a candidate component."""
-
-    def run(batches):
-        key, held, seen = None, [], set()
-
-        def close():
-            if len(held) > 1:
-                nodes, prints, sets, sides = zip(*held)
-                pairs = list(same_shingles(nodes, np.array(prints, np.int64).view(np.uint64), list(sets), np.array(sides), key[1] != key[2], radius, similarity))
-                if pairs:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*pairs)], names=["a", "b"])
-
-        for batch in batches:
-            root, i, j, side, node, prints = (c.to_pylist() for c in batch.columns[:6])
-            for n, text in enumerate(batch.column(6)):
-                if (root[n], i[n], j[n]) != key:
-                    yield from close()
-                    key, held, seen = (root[n], i[n], j[n]), [], set()
-                if node[n] not in seen:  # copies of a text
-                    seen.add(node[n])
-                    held.append((node[n], prints[n], frozenset(shingle_hashes(text.as_py(), shingle)), side[n]))
-        yield from close()
-
-    return members.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node").mapInArrow(run, "a long, b long")
-
-
 def packed_shingles(own: DataFrame, shingle: int, parts: int) -> DataFrame:
     """(part, size, data): every text's different shingles with its node, in parts of the range of the
     hashes. A piece of data has the sorted hashes as differences, byte plane by byte plane, the places of
@@ -388,55 +325,69 @@ def enough(pairs: DataFrame, lists: DataFrame, similarity: float) -> DataFrame:
     return both.filter(common >= F.lit(similarity) * (F.col("n_a") + F.col("n_b") - common)).select("a", "b")
 
 
-def prefix_links(own: DataFrame, placed: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Links (a, b) that, with the roots known already, join all texts of enough similarity: none is
-    missed. own has (node, text); placed has (node, n, root), n being the number of different shingles.
+def shingle_lists(own: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """(node, n, shingles) of the texts (node, text) that share shingles with others: the shared ones,
+    rarest first, and the number of all. texts has (node, n)."""
+    total = texts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    shared = shared_shingles(packed_shingles(own, shingle, max(1, -(-total // PART_SHINGLES))))
+    lists = shared.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("found"))
+    return stored(lists.join(texts.select("node", "n"), "node").select("node", "n", F.col("found.shingle").alias("shingles")), "shingles")
+
+
+def prefix_links(lists: DataFrame, placed: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that, with the roots known already (node, root), join all texts of enough similarity:
+    none is missed.
 
     By prefix filtering: in any common order of all shingles, two similar texts share one of the first
     n - ceil(similarity * n) + 1 shingles of each. The order is by the number of texts, rarest first, so
     shingles of a single text come first and are no candidates. Of each shared shingle's texts, the
-    neighbours and the first are compared first and joined to components; then all pairs of texts that
-    are not joined yet, so that a large group of near copies doesn't give all its pairs."""
-    total = placed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    shared = shared_shingles(packed_shingles(own, shingle, max(1, -(-total // PART_SHINGLES))))
-    lists = shared.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("found"))
-    lists = stored(lists.join(placed.select("node", "n"), "node").select("node", "n", F.col("found.shingle").alias("shingles")), "shingles")
+    neighbours and the first are compared first and joined to components; then, for the shingles that
+    still belong to several components, all pairs of texts that are not joined yet, so that a large group
+    of near copies doesn't give all its pairs."""
     alone = F.col("n") - F.size("shingles")
     length = F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-6) + 1 - alone
     first = lists.filter(length > 0).select("node", "n", alone.alias("alone"), F.posexplode(F.slice("shingles", F.lit(1), length.cast("int"))).alias("pos", "shingle"))
-    prefix = settle(first.select("shingle", "node", "n", (F.col("alone") + F.col("pos")).alias("place")).join(placed.select("node", "root"), "node"))
+    roots = placed.select(F.col("node").alias("member"), "root")
+    prefix = settle(first.select("shingle", "node", "n", (F.col("alone") + F.col("pos")).alias("place")).join(roots, F.col("node") == F.col("member")).drop("member"))
 
     def possible(x, y):
         """By the sizes, and by what can follow the first common shingle."""
         rest = F.least(x("n") - x("place"), y("n") - y("place"))
         return (x("root") != y("root")) & (rest >= F.lit(similarity / (1 + similarity)) * (x("n") + y("n")) - 1e-6)
 
+    def several(rows):
+        """Without the shingles whose texts are all of one component."""
+        mixed = settle(rows.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("shingle"))
+        return rows.join(mixed, "shingle")
+
     def ordered(pairs):
         return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     own_row = F.struct("node", "n", "place", "root")
     by = Window.partitionBy("shingle").orderBy("node")
-    ahead = prefix.select(own_row.alias("x"), F.lag(own_row).over(by).alias("before"), F.first(own_row).over(by).alias("head"))
+    ahead = several(prefix).select(own_row.alias("x"), F.lag(own_row).over(by).alias("before"), F.first(own_row).over(by).alias("head"))
     stars = ahead.select("x", F.explode(F.array("before", "head")).alias("y")).filter("x.node <> y.node")
     near = stars.filter(possible(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     tried = settle(ordered(near))
     links = settle(enough(tried, lists, similarity))
     old = placed.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
     joined = components(old.unionByName(links)).select(F.col("node").alias("member"), F.col("root").alias("now"))
-    rows = settle(prefix.join(joined, F.col("node") == F.col("member"), "left").select("shingle", "node", "n", "place", F.coalesce("now", "node").alias("root")))
+    rows = settle(several(prefix.drop("root").join(joined, F.col("node") == F.col("member"), "left").select("shingle", "node", "n", "place", F.coalesce("now", "node").alias("root"))))
     x, y = rows.alias("x"), rows.alias("y")
     meet = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.node") < F.col("y.node")) & possible(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}"))
     others = x.join(y.hint("merge"), meet).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     return links.unionByName(settle(enough(settle(others), lists, similarity)))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 6, reach: int = 12, block: int = 2048, bucket: int = 1 << 14) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 3, reach: int = 12, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, node, root): documents with one root are copies or are joined by links of texts whose
     word shingles have at least this Jaccard similarity; no such link is missed. Fingerprints of weighted
-    words join most near copies first: texts up to ``radius`` differing bits, and those up to ``reach``
-    that meet in some covering table, are candidates, and candidate components over ``block`` texts are
-    compared in pairs of blocks, so no task holds more than two. What they leave apart, prefix filtering
-    finds. node is a 64-bit digest of the text."""
+    words join most near copies first: those up to ``reach`` differing bits that meet in a covering table
+    (all up to ``radius`` do) are linked by a spanning forest, and each of its links is verified on the
+    texts' shingles. What they leave apart, prefix filtering finds, so the result doesn't rest on the
+    tables. Work and shuffles are linear in the texts and the links; no group of candidates is compared
+    all with all but where its texts share a rare shingle and aren't joined yet. node is a 64-bit digest
+    of the text."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
 
     def run(batches):
@@ -447,19 +398,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("node"), text.cast("binary").alias("text"))
     marked = settle(own.mapInArrow(run, "doc_id long, node long, print long, n long"))
-    texts = marked.groupBy("node").agg(F.first("print").alias("print"), F.first("n").alias("n"))
-    roots = components(near_links(texts.select("print").distinct(), radius, bucket, reach, early=8))
-    placed = texts.join(roots.select(F.col("node").alias("own_print"), "root"), F.col("print") == F.col("own_print"), "left").select("node", "n", "print", F.coalesce("root", "print").alias("root"))
-    placed = settle(placed)
-    sizes = placed.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("root").alias("of"), F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    sizes = settle(sizes)  # with an exchange of its own, so that the join below can split a large component
-    members = placed.join(sizes, F.col("root") == F.col("of")).select("root", "node", "print", "blocks", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int").alias("side"))
-    spread = members.select("root", "side", "node", "print", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x")).select("root", F.least("side", "x").alias("i"), F.greatest("side", "x").alias("j"), "side", F.col("node").alias("member"), "print")
-    rows = spread.join(own.select("node", "text"), F.col("member") == F.col("node")).select("root", "i", "j", "side", "node", "print", "text")
-    found = settle(components(settle(shingle_links(rows, shingle, reach, similarity))))
+    texts = settle(marked.groupBy("node").agg(F.first("print").alias("print"), F.first("n").alias("n")))
+    lists = shingle_lists(own, texts, shingle)
+    nodes = settle(texts.groupBy("print").agg(F.min("node").alias("rep")))
+    rep = lambda c: nodes.select(F.col("print").alias(f"print_{c}"), F.col("rep").alias(f"rep_{c}"))
+    alike = texts.join(rep("a"), F.col("print") == F.col("print_a")).filter("node <> rep_a").select(F.col("node").alias("a"), F.col("rep_a").alias("b"))
+    near = near_links(nodes.select("print"), radius, bucket, reach).distinct()
+    near = near.join(rep("a"), F.col("a") == F.col("print_a")).join(rep("b"), F.col("b") == F.col("print_b")).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    found = settle(components(enough(settle(alike.unionByName(near)), lists, similarity)))
     stars = found.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-    known = settle(placed.select("node", "n").join(found.select(F.col("node").alias("member"), "root"), F.col("node") == F.col("member"), "left").select("node", "n", F.coalesce("root", "node").alias("root")))
-    joined = components(stars.unionByName(prefix_links(own, known, shingle, similarity)))
+    known = settle(texts.select("node").join(found.select(F.col("node").alias("member"), "root"), F.col("node") == F.col("member"), "left").select("node", F.coalesce("root", "node").alias("root")))
+    joined = components(stars.unionByName(prefix_links(lists, known, similarity)))
     return marked.join(joined.select(F.col("node").alias("linked"), "root"), F.col("node") == F.col("linked"), "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
 
 
