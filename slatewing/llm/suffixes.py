@@ -9,11 +9,11 @@ an anchor found once needs no comparison at all. An anchor's segment is the text
    partial sums before the shuffle: segments found more than once repeat as a whole; anchors with
    several different segments remain.
 2. Of those, one copy of each different segment is fetched and sorted by what follows the anchor: the
-   suffix array of that anchor with its common prefixes. A stack scan merges the common-prefix intervals
-   from the longest down. Each interval keeps its suffixes in the order of what precedes the anchor;
-   where two merge, the left extensions of new neighbours are compared. A common prefix and a left
-   extension of ``least`` bytes together are a maximal repeat of the two; all its occurrences lie in
-   the interval and all get their span.
+   suffix array of that anchor with its common prefixes. A stack scan goes through the common-prefix
+   intervals from the longest down. Each interval keeps its suffixes in the order of what precedes the
+   anchor; a run of them with a common left extension that together with the common prefix has
+   ``least`` bytes, and that draws on several of the interval's children, is a maximal repeat with all
+   its occurrences (``repeat_groups``). A suffix's span is the union of its groups (``repeat_spans``).
 3. The spans of a text are united, cut out, and the rest is hashed.
 
 Copies of a whole text count once before any comparison, so a large group of copies is one text. An
@@ -166,47 +166,101 @@ class Suffix:
         return min(most, low_zeros(x)) if x else most
 
 
-def interval_scan(suffixes: list[Suffix], least: int):
-    """(suffix, bytes before, bytes after) of the repeats of ``least`` bytes or more around one anchor.
+def stack_scan(array: list[Suffix], rank: list[int], merge) -> None:
+    """The common-prefix intervals of an enhanced suffix array, the longest prefix first: merge(children,
+    prefix) gets the ranks of each child of an interval and gives those of the interval."""
+    stack: list[tuple[int, list[int]]] = []  # common prefix with the interval below, ranks
+
+    def close():
+        prefix, children = stack[-1][0], []
+        while len(stack) > 1 and stack[-1][0] == prefix:
+            children.append(stack.pop()[1])
+        below, first = stack.pop()
+        stack.append((below, merge([first, *reversed(children)], prefix)))
+
+    for i, own in enumerate(array):
+        prefix = array[i - 1].prefix(own) if i else -1
+        while len(stack) > 1 and stack[-1][0] > prefix:
+            close()
+        stack.append((prefix, [rank[i]]))
+    while len(stack) > 1:
+        close()
+
 
-    The suffix array is the order by what follows. The stack holds open intervals with their common
-    prefix; an interval is a list of (order by what precedes, number), and two become one by putting
-    the shorter list's suffixes into the longer. Only neighbours in that order can have the longest
-    left extension, so only those are compared; pairs whose extension falls short are no repeat."""
+def enhanced(suffixes: list[Suffix]) -> tuple[list[Suffix], list[Suffix], list[int]]:
+    """The suffixes in the order of what follows; in the order of what precedes; the second's places for
+    the first."""
     array = sorted(suffixes, key=lambda x: x.after)
-    by_left = sorted(range(len(array)), key=lambda i: array[i].before[::-1])
-    rank = {i: r for r, i in enumerate(by_left)}
+    order = sorted(range(len(array)), key=lambda i: array[i].before[::-1])
+    rank = [0] * len(array)
+    for r, i in enumerate(order):
+        rank[i] = r
+    return array, [array[i] for i in order], rank
+
+
+def repeat_groups_of(suffixes: list[Suffix], least: int):
+    """(bytes before, bytes after, suffixes) of every maximal repeat of ``least`` bytes or more around one
+    anchor, with all its occurrences. In each common-prefix interval, the runs of suffixes with a common
+    left extension are found by a second stack scan; a run is a group if it draws on several children
+    (what follows is diverse), and since no neighbour shares its whole extension, what precedes is
+    diverse as well."""
+    array, by_left, rank = enhanced(suffixes)
+    longest = max((len(x.before) for x in suffixes), default=0)
     found = []
 
-    def merge(a: list[int], b: list[int], prefix: int) -> list[int]:
-        if len(a) < len(b):
-            a, b = b, a
-        for r in b:
+    def runs(members: list[int], child: list[int], prefix: int):
+        change = [len(members)] * len(members)  # the next place with another child
+        for i in range(len(members) - 2, -1, -1):
+            change[i] = i + 1 if child[i] != child[i + 1] else change[i + 1]
+        stack: list[tuple[int, int]] = []  # common extension, first place
+        for i in range(1, len(members) + 1):
+            left = by_left[members[i - 1]].extension(by_left[members[i]]) if i < len(members) else -1
+            start = i - 1
+            while stack and stack[-1][0] > left:
+                extension, start = stack.pop()
+                if extension + prefix >= least and change[start] < i:
+                    found.append((extension, prefix, [by_left[r] for r in members[start:i]]))
+            if left + prefix >= least and (not stack or stack[-1][0] < left):
+                stack.append((left, start))
+
+    def merge(children: list[list[int]], prefix: int) -> list[int]:
+        if longest + prefix < least:
+            return sorted(r for c in children for r in c)
+        of = sorted((r, k) for k, c in enumerate(children) for r in c)
+        members = [r for r, _ in of]
+        runs(members, [k for _, k in of], prefix)
+        return members
+
+    stack_scan(array, rank, merge)
+    return found
+
+
+def interval_scan(suffixes: list[Suffix], least: int):
+    """(suffix, bytes before, bytes after) of each suffix in some group of ``repeat_groups_of``: the most
+    before and the most after the anchor over its groups, all of which hold the anchor, so that this is
+    their union. No group is listed: where a child's suffix comes into the interval's order by what
+    precedes, only its neighbours can have the longest left extension, so only those are compared."""
+    array, by_left, rank = enhanced(suffixes)
+    longest = max((len(x.before) for x in suffixes), default=0)
+    reach: dict[int, tuple[int, int]] = {}
+
+    def merge(children: list[list[int]], prefix: int) -> list[int]:
+        a, *others = sorted(children, key=len, reverse=True)
+        if longest + prefix < least:
+            return sorted(r for c in children for r in c)
+        for r in (r for b in others for r in b):
             k = bisect.bisect_left(a, r)
-            own = array[by_left[r]]
             for n in (*a[k - 1 : k], *a[k : k + 1]):
-                other = array[by_left[n]]
-                left = own.extension(other)
+                left = by_left[r].extension(by_left[n])
                 if left + prefix >= least:
-                    found.append((own, left, prefix))
-                    found.append((other, left, prefix))
+                    for x in (r, n):
+                        before, after = reach.get(x, (0, 0))
+                        reach[x] = max(before, left), max(after, prefix)
             a.insert(k, r)
         return a
 
-    stack: list[tuple[int, list[int]]] = []  # common prefix with the interval below, suffixes
-    for i in range(len(array)):
-        prefix = array[i - 1].prefix(array[i]) if i else 0
-        own: list[int] = [rank[i]]
-        while len(stack) > 1 and stack[-1][0] > prefix:
-            p, top = stack.pop()
-            q, below = stack.pop()
-            stack.append((q, merge(below, top, p)))
-        stack.append((prefix, own))
-    while len(stack) > 1:
-        p, top = stack.pop()
-        q, below = stack.pop()
-        stack.append((q, merge(below, top, p)))
-    return found
+    stack_scan(array, rank, merge)
+    return [(by_left[r], before, after) for r, (before, after) in reach.items()]
 
 
 def cut_segments(requests: DataFrame, texts: DataFrame, least: int) -> DataFrame:
@@ -242,43 +296,49 @@ def cut_segments(requests: DataFrame, texts: DataFrame, least: int) -> DataFrame
     return rows.mapInArrow(run, "h long, s long, k1 long, k2 long, start long, anchor int, segment binary")
 
 
-def spans_schema(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) if rows else [[]] * 4
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["k1", "k2", "start", "stop"])
-
-
 SPANS = "k1 long, k2 long, start long, stop long"
 
 
-def scanned(segments: DataFrame, least: int) -> DataFrame:
-    """Spans found by the interval scan of every anchor's segments; an anchor's rows stream by in order."""
+def by_anchor(segments: DataFrame, rows_of, schema: str) -> DataFrame:
+    """rows_of(anchor's hash, suffixes) for every anchor with several segments; an anchor's rows stream
+    by in order."""
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
         current, held, last, out = None, [], None, []
 
-        def close():
-            if len(held) > 1:
-                for suffix, before, after in interval_scan(held, least):
-                    k1, k2, at = suffix.who
-                    out.append((k1, k2, at - before, at + after))
+        def give():
+            batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=names)
+            out.clear()
+            return batch
 
         for batch in batches:
             h, s, k1, k2, start, anchor = (c.to_pylist() for c in batch.columns[:6])
             for i, segment in enumerate(batch.column(6)):
                 if h[i] != current:
-                    close()
+                    if len(held) > 1:
+                        out += rows_of(current, held)
                     current, held, last = h[i], [], None
                 if s[i] != last:  # a copy of the segment may have come twice
-                    held.append(Suffix(segment.as_py(), anchor[i], (k1[i], k2[i], start[i] + anchor[i])))
+                    held.append(Suffix(segment.as_py(), anchor[i], (k1[i], k2[i], start[i] + anchor[i], s[i])))
                     last = s[i]
-            if len(out) > 5_000:
-                yield spans_schema(out)
-                out.clear()
-        close()
+                if len(out) > 5_000:
+                    yield give()
+        if len(held) > 1:
+            out += rows_of(current, held)
         if out:
-            yield spans_schema(out)
+            yield give()
+
+    return segments.repartition("h").sortWithinPartitions("h", "s").mapInArrow(run, schema)
 
-    return segments.repartition("h").sortWithinPartitions("h", "s").mapInArrow(run, SPANS)
+
+def scanned(segments: DataFrame, least: int) -> DataFrame:
+    """Spans found by the interval scan of every anchor's segments."""
+
+    def rows_of(_, held):
+        return [(x.who[0], x.who[1], x.who[2] - before, x.who[2] + after) for x, before, after in interval_scan(held, least)]
+
+    return by_anchor(segments, rows_of, SPANS)
 
 
 def counted(segments: DataFrame, least: int) -> DataFrame:
@@ -299,13 +359,19 @@ def counted(segments: DataFrame, least: int) -> DataFrame:
     return rows.join(again, ["h", "window"]).select("k1", "k2", "start", (F.col("start") + least).alias("stop"))
 
 
+def anchored(rows: DataFrame) -> DataFrame:
+    """(h, s, n, m, k1, k2, place): the segments of all anchors that occur more than once. n: times the
+    segment occurs in different texts or places, m: different segments of the anchor; one place of each."""
+    one = rows.groupBy("h", "s").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "place")).alias("at"))
+    segments_of = one.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.max("n").alias("most")).filter((F.col("m") > 1) | (F.col("most") > 1)).select(F.col("h").alias("anchor_hash"), "m")
+    return stored(one.join(segments_of, F.col("h") == F.col("anchor_hash")).filter((F.col("n") > 1) | (F.col("m") > 1)).select("h", "s", "n", "m", "at.*"), "anchors")
+
+
 def repeat_spans(texts: DataFrame, least: int = LEAST, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """(k1, k2, start, stop): stretches of the texts that repeat elsewhere; they may overlap."""
     long = texts.filter(F.octet_length("text") >= least).select("k1", "k2", "text")
     rows = occurrences(long, least, gram)  # made twice: that costs less than storing them
-    one = rows.groupBy("h", "s").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "place")).alias("at"))
-    segments_of = one.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.max("n").alias("most")).filter((F.col("m") > 1) | (F.col("most") > 1)).select(F.col("h").alias("anchor_hash"), "m")
-    groups = stored(one.join(segments_of, F.col("h") == F.col("anchor_hash")).filter((F.col("n") > 1) | (F.col("m") > 1)).select("h", "s", "n", "m", "at.*"), "anchors")
+    groups = anchored(rows)
 
     lo = F.shiftright("place", 24)
     again = groups.filter("n > 1").select("h", "s")
@@ -318,6 +384,46 @@ def repeat_spans(texts: DataFrame, least: int = LEAST, gram: int = GRAM, crowd:
     return whole.unionByName(few).unionByName(counted(stored(cut_segments(many, long, least), "crowded"), least))
 
 
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, k1, k2, text as bytes)"""
+    clean = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return clean.select("doc_id", *text_keys("text"), F.col("text").cast("binary").alias("text"))
+
+
+def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, gram: int = GRAM) -> DataFrame:
+    """(group, n_bytes, doc_id, start): every maximal repeat of ``least`` bytes or more with all its
+    occurrences, one row each; ``group`` is a 64-bit digest of the repeated bytes. Repeats are maximal
+    within the surroundings of their anchor (its segment): one that is longer than these gives
+    overlapping groups, one for each anchor in it. All segments of an anchor are scanned in one task."""
+    texts = keyed(docs, id_col, text_col)
+    long = texts.filter(F.octet_length("text") >= least).select("k1", "k2", "text")
+    rows = occurrences(long.dropDuplicates(["k1", "k2"]), least, gram)
+    groups = anchored(rows)
+
+    def rows_of(h, held):
+        from xxhash import xxh64_intdigest as digest
+
+        out = []
+        for before, after, members in repeat_groups_of(held, least):
+            x = members[0]
+            group = digest(x.before[len(x.before) - before :] + x.after[:after])
+            group -= (group >> 63) << 64
+            out += [(h, y.who[3], group, before, after) for y in members]
+        return out
+
+    scan = by_anchor(cut_segments(groups.filter("m > 1"), long, least), rows_of, "h long, s long, group long, before long, after long")
+    copies = texts.select("doc_id", F.col("k1").alias("c1"), F.col("k2").alias("c2"))
+    # A segment that occurs several times, or whose text does, is a group by itself.
+    number = texts.filter(F.octet_length("text") >= least).groupBy(F.col("k1").alias("c1"), F.col("k2").alias("c2")).agg(F.count(F.lit(1)).alias("copies"))
+    at = rows.withColumn("anchor", F.shiftright("place", 12).bitwiseAND(4095)).withColumn("lo", F.shiftright("place", 24)).withColumn("size", F.col("place").bitwiseAND(4095) + least)
+    counted_at = at.join(number, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2"))).drop("c1", "c2")
+    again = counted_at.groupBy("h", "s").agg(F.sum("copies").alias("n"), F.first("anchor").alias("before"), F.first("size").alias("size")).filter("n > 1")
+    alone = again.select("h", "s", F.xxhash64("h", "s").alias("group"), F.col("before").cast("long").alias("before"), (F.col("size") - F.col("before")).cast("long").alias("after"))
+    placed = stored(scan.unionByName(alone), "groups").join(at.select("h", "s", "k1", "k2", (F.col("lo") + F.col("anchor")).alias("middle")), ["h", "s"])
+    found = placed.join(copies, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")))
+    return found.select("group", (F.col("before") + F.col("after")).alias("n_bytes"), "doc_id", (F.col("middle") - F.col("before")).alias("start")).distinct()
+
+
 def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
@@ -330,9 +436,10 @@ def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, crowd: int = CROWD) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (as pairs of byte offsets)."""
-    clean = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    texts = clean.select("doc_id", *text_keys("text"), F.col("text").cast("binary").alias("text"))
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (first and last + 1 byte of each
+    removed run in turn), text (what remains, as UTF-8; where a run begins or ends inside a character,
+    U+FFFD stands for the rest of it, while kept_sha256 is that of the very bytes)."""
+    texts = keyed(docs, id_col, text_col)
     found = repeat_spans(texts, least=least, crowd=crowd)
     spans = found.groupBy(F.col("k1").alias("s1"), F.col("k2").alias("s2")).agg(F.collect_set(F.struct("start", "stop")).alias("x"))
     copies = texts.groupBy(F.col("k1").alias("c1"), F.col("k2").alias("c2")).agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
@@ -345,22 +452,21 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
             for text, again, start, stop in zip(*batch.columns[1:]):
                 text = text.as_py()
                 own = [(0, len(text))] if again.as_py() and len(text) >= least else united(list(zip(start.as_py() or (), stop.as_py() or ())))
-                sha, at = hashlib.sha256(), 0
-                for a, b in own:
-                    sha.update(text[at:a])
-                    at = b
-                sha.update(text[at:])
-                out.append((len(text), sum(b - a for a, b in own), len(own), sha.hexdigest()))
-                lists.append([x for pair in own for x in pair])
-            columns = list(zip(*out)) if out else [[]] * 4
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, kinds)], pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+                cuts = [0, *(x for pair in own for x in pair), len(text)]
+                kept = b"".join(text[a:b] for a, b in zip(cuts[::2], cuts[1::2])) if own else text
+                out.append((len(text), len(text) - len(kept), len(own), hashlib.sha256(kept).hexdigest(), kept.decode(errors="replace")))
+                lists.append(cuts[1:-1])
+            columns = list(zip(*out)) if out else [[]] * 5
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            made = [pa.array(c, t) for c, t in zip(columns, kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made[:4], pa.array(lists, pa.list_(pa.int64())), made[4]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "text"])
 
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
+    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>, text string")
 
 
 def op3_interval_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return removed(table(spark, sf_dir, "documents")).drop("spans")
+    """Per document what its repeats of 400 bytes are and what remains without them."""
+    return removed(table(spark, sf_dir, "documents"))
 
 
 SQL: dict[str, str] = {}

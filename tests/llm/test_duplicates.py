@@ -162,16 +162,58 @@ def test_removed_bytes(spark, documents, crowd):
 def test_interval_scan_finds_every_repeat(texts, anchor):
     least, gram = 8, "aab"
     held = [suffixes.Suffix((t[:anchor] + gram + t[anchor:]).encode(), min(len(t), anchor), i) for i, t in enumerate(texts)]
-    got = defaultdict(set)
-    for x, before, after in suffixes.interval_scan(held, least):
-        got[x.who] |= set(range(-before, after - least + 1))
+    got = {x.who: (before, after) for x, before, after in suffixes.interval_scan(held, least)}
+    groups = {(x[0].before[len(x[0].before) - b :], x[0].after[:a]): {y.who for y in x} for b, a, x in suffixes.repeat_groups_of(held, least)}
+    want, strings = {}, {}
     for x in held:
-        want = set()
         for y in held:
-            if y is not x:
+            if y is not x and (x.extension(y), x.prefix(y)) != (len(x.before), len(x.after)) and (x.before, x.after) != (y.before, y.after):
                 left, right = x.extension(y), x.prefix(y)
-                want |= set(range(-left, right - least + 1))
-        assert got[x.who] == want
+                if left + right >= least:
+                    before, after = want.get(x.who, (0, 0))
+                    want[x.who] = max(before, left), max(after, right)
+                    strings[(x.before[len(x.before) - left :], x.after[:right])] = None
+    occurrences = {(b, a): {z.who for z in held if z.before.endswith(b) and z.after.startswith(a)} for b, a in strings}
+    whole = {(x.before, x.after) for x in held}
+    if len(whole) == len(held):  # the scan gets different segments only
+        assert {k: v for k, v in groups.items() if k in occurrences} == occurrences
+        assert set(groups) <= set(occurrences) | whole
+        assert all(got[w][0] >= b and got[w][1] >= a for w, (b, a) in want.items())
+        for w, (b, a) in got.items():
+            own = [k for k, v in groups.items() if w in v]
+            assert (b, a) == (max(len(k[0]) for k in own), max(len(k[1]) for k in own))
+
+
+def test_groups_have_all_occurrences(spark):
+    r = random.Random(8)
+    noise = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    shared, core = noise(700), noise(450)
+    texts = [noise(300) + shared + noise(200), noise(100) + shared + noise(50), "x" + core + noise(90), noise(40) + core + "y" + core, core, noise(900), None, "", noise(900)] + [noise(500)] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    plain = [(t or "").encode() for t in texts]
+    groups = defaultdict(set)
+    for g, n, i, start in map(tuple, suffixes.repeat_groups(docs).collect()):
+        groups[(g, n)].add((i, start))
+    covered = [np.zeros(len(t) + 1, np.int64) for t in plain]
+    for (_, n), places in groups.items():
+        string = {plain[i][a : a + n] for i, a in places}
+        assert len(string) == 1 and n >= 400
+        string = string.pop()
+        assert places == {(i, a) for i, t in enumerate(plain) for a in range(len(t)) if t.startswith(string, a)} and len(places) > 1
+        for i, a in places:
+            covered[i][a] += 1
+            covered[i][a + n] -= 1
+    want = {i: c[1] for i, c in enumerate(cover(plain, 400))}
+    assert {i: int((np.cumsum(c) > 0).sum()) for i, c in enumerate(covered)} == want
+
+
+def test_what_remains(spark, documents):
+    rows = {r.doc_id: (r.text or "").encode() for r in documents.collect() if r.doc_id is not None}
+    for r in suffixes.removed(documents).filter("doc_id > 8").collect():
+        gone = list(zip(r.spans[::2], r.spans[1::2]))
+        kept = b"".join(rows[r.doc_id][a:b] for a, b in zip([0, *(y for _, y in gone)], [*(x for x, _ in gone), None]))
+        assert hashlib.sha256(kept).hexdigest() == r.kept_sha256 and kept.decode(errors="replace") == r.text
+        assert sum(b - a for a, b in gone) == r.n_removed and len(gone) == r.n_spans
 
 
 def test_pieces_of_very_long_texts(monkeypatch):
