@@ -1,22 +1,25 @@
 """Language-model scoring by online logistic context mixing.
 
-Tokens are words; frequent ones (at most ``WORDS``) are written as binary code words by rank and, among
-ranks with the same code word, by their share; the rest as an escape and then spelled. For every bit,
-predictors of three hashed contexts (none, the word before, the two words before) give their log odds;
-a mixer adds them with weights from the set that a gate selects (which contexts were seen, and the kind
-of bit), and after each bit the set is corrected by the error (online logistic regression). A secondary
-map from the mixed odds to what really followed refines the result adaptively. The bits' costs and the
-spelled letters' make the text's probability.
+Tokens are words; frequent ones (at most ``WORDS``) are written as binary code words: a class by rank,
+then their place in the class, which is in the order of their letters. The rest are an escape followed by
+their letters, each a Huffman code word. For every bit of these, four predictors give their log odds: the
+plain shares, and three hashed contexts. For words these are the topic (the last very frequent word
+before, which tells language and kind of text), the word before, and the two words before; for letters
+the one, the two and the four letters before. A mixer adds the odds with weights from the set that a gate
+selects (which contexts were seen, and the kind of bit), and after each bit the set is corrected by the
+error (online logistic regression). A secondary map from the mixed odds to what really followed refines
+the result adaptively. Every bit is mixed; the bits' costs are the text's probability.
 
 What is learned from the training rows covers all of them: exact counts of all tokens (a table that
-grows with the corpus), the bit counts of the hashed contexts, and letter pairs of spelled words. Each
+grows with the corpus), the bit counts of the hashed contexts, and letter counts of spelled words. Each
 task counts its own rows in tables of fixed size and gives only parts that have counts; those are added
-up in two rounds (by part and a salt, then by part). Scoring needs no other document: weights start
-anew every ``LANE`` bits, so a text's score doesn't depend on its neighbours, and thousands of such
-lanes run side by side in vectors.
+up in two rounds (by part and a salt, then by part). The tables grow with the training tokens up to
+2^``MOST_BITS`` slots, which bounds a worker's memory; beyond, more events share a slot. Scoring needs no
+other document: weights start anew every ``LANE`` bits (some 350 words), so a text's score doesn't depend
+on its neighbours, and thousands of such lanes run side by side in vectors.
 
 The base score is the smoothed unigram formula over exact counts: frequent tokens' counts are broadcast
-(at most ``WORDS`` of them), the rest join the count table.
+(at most ``WORDS`` of them, and at most ``WORD_BYTES`` together), the rest join the count table.
 
 Defined results: null and empty texts consist of the end token alone; a null doc_id is a training row;
 equal rows get equal results; without training rows N and V are 0. Only id and text are read.
@@ -39,20 +42,24 @@ from pyspark.sql import functions as F
 from slatewing.llm.common import LOWER_ASCII, held_out, stored, table
 
 WORDS = (1 << 18) - 1
-LANE = 1024
-DEEP = 5
-MOST_BITS = 20
+WORD_BYTES = 8 << 20
+LANE = 4096
+MOST_BITS = 22
 PARTS = 64
-SUB = 4_000_000
+SUB = 400_000
 UNIT = 16.0
-GATES = 8
+KINDS = 3
 STEPS = 24
-RATE = 0.02
-BIAS = 4
+RATE = 0.03
+REFINED = 0.25
+STRIP = 32
 SLICE = 50_000
-START, RARE = 0x7FFFFFFF, 0x7FFFFFFE
-# Where no context beyond the first was seen, with the word before, with two words before, with both.
-FIRST_WEIGHTS = np.array([[1.0, 0, 0, 0], [0.7, 0.4, 0, 0], [0.8, 0, 0.25, 0], [0.55, 0.35, 0.2, 0]], np.float32)
+TOPICS = 64
+START, RARE, NONE = 0x7FFFFFFF, 0x7FFFFFFE, 0x7FFFFFFD
+LETTERS = 3
+# Weights of plain, first, second and third context where neither of the last two was seen, where the
+# second was, where the third was, and where both were.
+FIRST_WEIGHTS = np.array([[0.3, 0.75, 0, 0], [0.2, 0.6, 0.3, 0], [0.2, 0.6, 0, 0.3], [0.1, 0.4, 0.3, 0.4]], np.float32)
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -90,16 +97,17 @@ def count_tokens(texts: DataFrame) -> DataFrame:
 
 
 def frequent(counts: DataFrame, most: int) -> tuple[list[bytes], np.ndarray]:
-    """The most frequent tokens, in order, and their counts: as many whole steps of frequency as fit.
-    Tokens seen once are left out: as escapes they show the model how often new words come."""
-    counts = counts.filter("n > 1")
+    """The most frequent tokens, in order, and their counts: as many whole steps of frequency as fit, by
+    number and by bytes. Tokens seen once, or of over 64 bytes, are left out: as escapes they show the
+    model how often new words come."""
+    counts = counts.filter((F.col("n") > 1) & (F.octet_length("token") <= 64))
     step = F.floor(F.log2("n") * 8)
-    sizes = sorted(((r[0], r[1]) for r in counts.groupBy(step.alias("s")).agg(F.count(F.lit(1))).collect()), reverse=True)
-    total, least = 0, None
-    for s, n in sizes:
-        if total + n > most:
+    sizes = sorted(map(tuple, counts.groupBy(step.alias("s")).agg(F.count(F.lit(1)), F.sum(F.octet_length("token"))).collect()), reverse=True)
+    total, held, least = 0, 0, None
+    for s, n, size in sizes:
+        if total + n > most or held + size > WORD_BYTES:
             break
-        total, least = total + n, s
+        total, held, least = total + n, held + size, s
     if least is None:
         return [], np.zeros(0, np.int64)
     got = counts.filter(step >= least).toArrow()
@@ -122,28 +130,49 @@ def class_codes(weights: list[float]) -> list[int]:
     return [int("1" + (bits[k] or "0"), 2) for k in range(len(weights))]
 
 
-def code_words(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]:
-    """For rank r its code with a leading 1 and its length: the class, which is the size of r + 1 in
-    bits, then the DEEP bits of r + 1 after its first. The last entry is the escape, class 0. Third: the
-    largest class code. Fourth: the cost in bits of the rank among those with the same code."""
+def code_words(words: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """For each rank its code with a leading 1 and its length: the class, which is the size of rank + 1
+    in bits, then the word's place by its letters in the class. The last entry is the escape, class 0.
+    Third: the largest class code."""
     v = np.arange(1, len(counts) + 1)
     size = np.floor(np.log2(v)).astype(np.int64) + 1 if len(v) else np.zeros(0, np.int64)
     sums = np.bincount(size, weights=counts, minlength=2) if len(v) else np.zeros(2)
     classes = np.array(class_codes([max(float(x), 1.0) for x in (0.05 * counts.sum(), *sums[1:])]))
     width = np.floor(np.log2(classes)).astype(np.int64)
-    rest = np.minimum(size - 1, DEEP)
-    code = (classes[size] << rest) | ((v >> (size - 1 - rest)) & ((1 << rest) - 1))
-    alike = np.bincount(code, weights=counts) if len(v) else np.zeros(1)
-    within = np.log2(alike[code] / np.maximum(counts, 1))
-    return np.r_[code, classes[0]].astype(np.int32), np.r_[width[size] + rest, width[0]].astype(np.int32), int(classes.max()), np.r_[within, 0.0]
+    place = np.zeros(len(v), np.int64)
+    for n in range(1, int(size.max(initial=0)) + 1):
+        lo, hi = (1 << n - 1) - 1, min((1 << n) - 1, len(v))
+        place[sorted(range(lo, hi), key=words.__getitem__)] = np.arange(hi - lo)
+    code = (classes[size] << (size - 1)) | place
+    return np.r_[code, classes[0]].astype(np.int32), np.r_[width[size] + size - 1, width[0]].astype(np.int32), int(classes.max())
+
+
+def letter_codes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A Huffman code for the 256 bytes by their share in the frequent words (a line feed ends a word):
+    codes with a leading 1, and lengths."""
+    share = np.bincount(np.frombuffer(b"\n".join(words) + b"\n", np.uint8), minlength=256) + 0.5
+    code = np.array(class_codes(share.tolist()), np.int64)
+    return code.astype(np.int32), np.floor(np.log2(code)).astype(np.int32)
+
+
+def mixed(h: np.ndarray, *more) -> np.ndarray:
+    """A 32-bit hash of some numbers."""
+    out = (h.astype(np.uint32) + np.uint32(1)) * np.uint32(2654435761)
+    for x in more:
+        out = (out ^ (x.astype(np.uint32) + np.uint32(7)) * np.uint32(2246822519)) * np.uint32(3266489917)
+        out ^= out >> np.uint32(13)
+    return out
 
 
 class Coder:
-    """Tokens to bits: what training and scoring share. Each bit has its node (the code so far)."""
+    """Tokens to bits: what training and scoring share. A token is a symbol, and a spelled one is
+    followed by a symbol for each letter; each bit has its node (the code so far, letters apart)."""
 
     def __init__(self, words: list[bytes], counts: np.ndarray, bits: int):
         self.words, self.bits, self.key = words, bits, uuid.uuid4().hex
-        self.code, self.length, self.classes, self.within = code_words(counts)
+        self.code, self.length, self.classes = code_words(words, counts)
+        self.letter_code, self.letter_length = letter_codes(words)
+        self.nodes = int(self.code.max()) // 2 + 1  # letters' nodes come after
 
     def index(self) -> dict[bytes, int]:
         """Token to rank, made once in each Python process."""
@@ -155,28 +184,61 @@ class Coder:
     def ranks(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.index().get, words, repeat(-1)), np.int64, len(words))
 
-    def decisions(self, ranks: np.ndarray, first: np.ndarray):
-        """(node, bit, slot1, slot2, bits of each token); ``first`` marks a text's first token."""
-        which = np.where(ranks < 0, len(self.words), ranks)
-        code, length = self.code[which], self.length[which]
-        before = np.where(ranks < 0, RARE, ranks).astype(np.uint32)
-        one = np.r_[np.uint32(START), before[:-1]]
+    def contexts(self, ranks: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The hashes of each token's topic, word before, and two words before; ``first`` marks a text's
+        first token."""
+        n = len(ranks)
+        own = np.where(ranks < 0, RARE, ranks).astype(np.uint32)
+        one = np.r_[np.uint32(START), own[:-1]]
         one[first] = START
         two = np.r_[np.uint32(START), one[:-1]]
         two[first] = START
-        h1 = (one + np.uint32(1)) * np.uint32(2654435761)
-        h2 = (h1 ^ (two + np.uint32(7)) * np.uint32(2246822519)) * np.uint32(3266489917)
-        total = int(length.sum())
+        at = np.arange(n)
+        start = np.maximum.accumulate(np.where(first, at, 0))
+        last = np.r_[-1, np.maximum.accumulate(np.where((ranks >= 0) & (ranks < TOPICS), at, -1))[:-1]]
+        topic = np.where(last >= start, own[np.maximum(last, 0)], np.uint32(NONE))
+        return mixed(topic), mixed(one), mixed(one, two)
+
+    def decisions(self, words: list[bytes], ranks: np.ndarray, hashes):
+        """(node, bit, the slots of the three contexts, kind of the bit, bits of each token) of some
+        tokens with the hashes of their contexts. Kinds: 0 class, 1 place in the class, 2 letter."""
+        n, spelled = len(ranks), np.flatnonzero(ranks < 0)
+        which = np.where(ranks < 0, len(self.words), ranks)
+        extra = np.zeros(n, np.int64)
+        text = np.frombuffer(b"\n" * 4 + b"\n".join([words[i] for i in spelled]) + b"\n", np.uint8)
+        extra[spelled] = np.fromiter((len(words[i]) + 1 for i in spelled), np.int64, len(spelled))
+        ends = np.cumsum(extra + 1)
+        at = ends - extra - 1  # of each token among the symbols
+        total = int(ends[-1]) if n else 0
+        is_letter = np.ones(total, bool)
+        is_letter[at] = False
+        code, length = np.empty(total, np.int32), np.empty(total, np.int32)
+        code[at], length[at] = self.code[which], self.length[which]
+        own = [np.empty(total, np.uint32) for _ in hashes]
+        for x, h in zip(own, hashes):
+            x[at] = h
+        if len(spelled):
+            letter = text[4:]
+            code[is_letter], length[is_letter] = self.letter_code[letter], self.letter_length[letter]
+            before = [text[3:-1].astype(np.uint32)]
+            for k in (2, 1, 0):  # nothing of the word before counts
+                before.append(np.where(before[-1] == 10, np.uint32(10), text[k : k - 4].astype(np.uint32)))
+            pair = before[0] | before[1] << np.uint32(8)
+            for x, h in zip(own, (mixed(before[0], before[0]), mixed(pair, pair), mixed(pair, before[2] | before[3] << np.uint32(8)))):
+                x[is_letter] = h
+        size = int(length.sum())
         left = np.repeat(np.cumsum(length, dtype=np.int32), length)
-        left -= np.arange(total, dtype=np.int32)
+        left -= np.arange(1, size + 1, dtype=np.int32)
         node = np.repeat(code, length)
-        left -= np.int32(1)
         node >>= left
         bit = (node & np.int32(1)).astype(np.uint8)
         node >>= np.int32(1)
+        letters = np.repeat(is_letter, length)
+        kind = np.where(letters, np.uint8(2), (node > self.classes).view(np.uint8))
+        node[letters] += np.int32(self.nodes)
         spread = node.view(np.uint32) * np.uint32(668265263)
         slots = []
-        for h in (h1, h2):
+        for h in own:
             x = np.repeat(h, length)
             x ^= spread
             x *= np.uint32(374761393)
@@ -184,7 +246,8 @@ class Coder:
             x *= np.uint32(2246822519)
             x >>= np.uint32(32 - self.bits)
             slots.append(x)
-        return node, bit, slots[0], slots[1], length
+        sums = np.r_[0, np.cumsum(length, dtype=np.int64)]
+        return node, bit, slots, kind, sums[ends] - sums[at]
 
 
 CACHE: dict = {}
@@ -212,15 +275,9 @@ def joined(part: list[list[bytes]]):
     return words, sizes, first
 
 
-def letters(words: list[bytes]) -> np.ndarray:
-    """Pairs (letter before, letter) of the spelled words, the end of a word being a line feed."""
-    x = np.frombuffer(b"\n" + b"\n".join(words) + b"\n", np.uint8).astype(np.int64)
-    return x[:-1] * 256 + x[1:]
-
-
-def gather(texts: DataFrame, coder: Coder) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Over all training rows: the log odds of both hashed contexts' slots (one byte each) and the
-    letter pairs' counts."""
+def gather(texts: DataFrame, coder: Coder) -> tuple[list[np.ndarray], np.ndarray]:
+    """Over all training rows: the log odds of the hashed contexts' slots (one byte each) and the counts
+    of the letters in spelled words."""
     shared = texts.sparkSession.sparkContext.broadcast(coder)
     size = 1 << coder.bits
     width = size // PARTS * 2
@@ -229,101 +286,124 @@ def gather(texts: DataFrame, coder: Coder) -> tuple[np.ndarray, np.ndarray, np.n
         import zstandard
 
         coder = shared.value
-        tables = [np.zeros(size * 2, np.int32) for _ in range(2)]
-        pairs = np.zeros(65536, np.int64)
+        tables = [np.zeros(size * 2, np.int32) for _ in range(LETTERS)]
+        letters = np.zeros(256, np.int64)
         for batch in batches:
             for part in flat(batch.column(0), SLICE):
                 words, _, first = joined(part)
                 ranks = coder.ranks(words)
-                pairs += np.bincount(letters([words[i] for i in np.flatnonzero(ranks < 0)]), minlength=65536)
-                _, bit, one, two, _ = coder.decisions(ranks, first)
-                for t, slot in zip(tables, (one, two)):
-                    np.add.at(t, slot.astype(np.int64) * 2 + bit, np.int32(1))
+                rare = [words[i] for i in np.flatnonzero(ranks < 0)]
+                if rare:
+                    letters += np.bincount(np.frombuffer(b"\n".join(rare) + b"\n", np.uint8), minlength=256)
+                _, bit, slots, _, _ = coder.decisions(words, ranks, coder.contexts(ranks, first))
+                for t, slot in zip(tables, slots):
+                    np.add.at(t, slot.astype(np.int64) << 1 | bit, np.int32(1))
         pack = zstandard.ZstdCompressor(level=1).compress
-        for t, counts in enumerate((*tables, pairs)):
-            for k in range(PARTS if t < 2 else 1):
-                own = counts[k * width : (k + 1) * width].astype(np.int64) if t < 2 else counts
+        for t, counts in enumerate(tables):
+            for k in range(PARTS):
+                own = counts[k * width : (k + 1) * width]
                 if own.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([t * PARTS + k], pa.int32()), pa.array([pack(own.tobytes())], pa.binary())], names=["part", "data"])
+                    # Byte planes: most counts are small, so three of four planes are almost empty.
+                    yield one(t * PARTS + k, pack(np.ascontiguousarray(own.view(np.uint8).reshape(-1, 4).T).tobytes()))
+        if letters.any():
+            yield one(LETTERS * PARTS, letters.tobytes())
 
-    def add(batches):
+    def one(part, data):
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([data], pa.binary())], names=["part", "data"])
+
+    def unpacked(part, data):
         import zstandard
 
-        unpack, sums = zstandard.ZstdDecompressor().decompress, {}
+        if part == LETTERS * PARTS:
+            return np.frombuffer(data, np.int64)
+        raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+        return np.ascontiguousarray(raw.reshape(4, -1).T).view("<i4").ravel().astype(np.int64)
+
+    def sums(batches):
+        at, held = None, None
         for batch in batches:
             for part, data in zip(batch.column("part").to_pylist(), batch.column("data")):
-                counts = np.frombuffer(unpack(data.as_py()), np.int64)
-                sums[part] = sums[part] + counts if part in sums else counts.copy()
-        pack = zstandard.ZstdCompressor(level=1).compress
-        for part, counts in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([pack(counts.tobytes())], pa.binary())], names=["part", "data"])
+                if part != at and at is not None:
+                    yield at, held
+                counts = unpacked(part, data.as_py())
+                at, held = part, counts if part != at else held + counts
+        if at is not None:
+            yield at, held
 
-    def odds(batches):
+    def add(batches):
         import zstandard
 
-        for batch in add(batches):
-            part = batch.column("part")[0].as_py()
-            counts = np.frombuffer(zstandard.ZstdDecompressor().decompress(batch.column("data")[0].as_py()), np.int64)
-            if part < 2 * PARTS:
-                pair = counts.reshape(-1, 2)
-                st = np.where(pair.any(axis=1), np.log((pair[:, 1] + 0.3) / (pair[:, 0] + 0.3)) * UNIT, 0)
-                st = np.clip(np.rint(st), -127, 127).astype(np.int8)
-                st[(st == 0) & pair.any(axis=1)] = 1
-                data = st.tobytes()
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for part, counts in sums(batches):
+            if part < LETTERS * PARTS:
+                counts = np.minimum(counts, (1 << 31) - 1).astype("<i4")
+                yield one(part, pack(np.ascontiguousarray(counts.view(np.uint8).reshape(-1, 4).T).tobytes()))
             else:
-                data = counts.tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([data], pa.binary())], names=["part", "data"])
+                yield one(part, counts.tobytes())
+
+    def odds(batches):
+        for part, counts in sums(batches):
+            yield one(part, log_odds(counts.reshape(-1, 2)).tobytes() if part < LETTERS * PARTS else counts.tobytes())
 
     schema = "part int, data binary"
     counted = texts.filter(~F.col("held_out")).select("text").mapInArrow(count, schema)
     salted = counted.withColumn("salt", F.spark_partition_id() % 16)
-    once = salted.repartition("part", "salt").select("part", "data").mapInArrow(add, schema)
-    got = dict(zip(*once.repartition("part").mapInArrow(odds, schema).toArrow().to_pydict().values()))
-    slots = [np.concatenate([np.frombuffer(got[t * PARTS + k], np.int8) if t * PARTS + k in got else np.zeros(width // 2, np.int8) for k in range(PARTS)]) for t in range(2)]
-    pairs = np.frombuffer(got[2 * PARTS], np.int64) if 2 * PARTS in got else np.zeros(65536, np.int64)
-    return slots[0], slots[1], pairs
+    once = salted.repartition("part", "salt").sortWithinPartitions("part", "salt").select("part", "data").mapInArrow(add, schema)
+    got = dict(zip(*once.repartition("part").sortWithinPartitions("part").mapInArrow(odds, schema).toArrow().to_pydict().values()))
+    empty = bytes(width // 2)
+    slots = [np.frombuffer(b"".join(got.pop(t * PARTS + k, empty) for k in range(PARTS)), np.int8) for t in range(LETTERS)]
+    return slots, np.frombuffer(got.get(LETTERS * PARTS, bytes(2048)), np.int64)
+
+
+def log_odds(pair: np.ndarray, least: float = 0.3) -> np.ndarray:
+    """Counts of zeros and ones to log odds in a byte; 0 means not seen."""
+    st = np.clip(np.rint(np.log((pair[:, 1] + least) / (pair[:, 0] + least)) * UNIT), -127, 127).astype(np.int8)
+    st[(st == 0) & pair.any(axis=1)] = 1
+    return st
 
 
 class Mixer:
-    """The whole model: code, log odds of the contexts, costs of letters, exact counts of known tokens."""
+    """The whole model: code, plain shares, log odds of the contexts, exact counts of known tokens."""
 
-    def __init__(self, coder: Coder, counts: np.ndarray, one: np.ndarray, two: np.ndarray, pairs: np.ndarray, total: int):
-        self.coder, self.one, self.two = coder, one, two
+    def __init__(self, coder: Coder, counts: np.ndarray, slots: list[np.ndarray], letters: np.ndarray, total: int):
+        self.coder, self.slots = coder, slots
         self.log_counts = np.log10(counts + 0.1)
-        plain = np.zeros((int(coder.code.max()), 2))
+        plain = np.zeros((coder.nodes + int(coder.letter_code.max()) // 2 + 1, 2), np.float32)
         own = np.r_[counts, max(total - int(counts.sum()), 0)]
-        for j in range(1, int(coder.length.max()) + 1):
-            some = coder.length >= j
-            prefix = coder.code[some] >> (coder.length[some] - j)
-            np.add.at(plain, (prefix >> 1, prefix & 1), own[some])
-        self.plain = np.clip(np.rint(np.log((plain[:, 1] + 0.05) / (plain[:, 0] + 0.05)) * UNIT), -127, 127).astype(np.int8)
-        grid = pairs.reshape(256, 256)
-        self.letter = np.log10((grid + 0.05) / (grid.sum(axis=1, keepdims=True) + 0.05 * 256)).ravel()
-
-    def bits(self, ranks: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """The cost in bits of each token's code word."""
-        lengths, odds, marks = [], [], []
-        cuts = [*range(0, len(ranks), SLICE), len(ranks)]
-        for a, b in zip(cuts, cuts[1:]):
-            back = min(a, 2)  # the slice's first words need the two before it
-            node, bit, one, two, length = self.coder.decisions(ranks[a - back : b], first[a - back : b])
-            skip = int(length[:back].sum())
-            x = np.empty((len(bit) - skip, 4), np.int8)
-            x[:, 0], x[:, 1], x[:, 2], x[:, 3] = self.plain[node[skip:]], self.one[one[skip:]], self.two[two[skip:]], BIAS
-            gate = (x[:, 1] != 0).view(np.uint8) | (x[:, 2] != 0).view(np.uint8) << 1 | (node[skip:] > self.coder.classes).view(np.uint8) << 2
-            odds.append(x)
-            marks.append(gate << 1 | bit[skip:])
-            lengths.append(length[back:])
-        length = np.concatenate(lengths).astype(np.int64)
+        for code, length, n, base in ((coder.code, coder.length, own, 0), (coder.letter_code, coder.letter_length, letters, coder.nodes)):
+            for j in range(1, int(length.max()) + 1):
+                some = length >= j
+                prefix = code[some] >> (length[some] - j)
+                np.add.at(plain, (base + (prefix >> 1), prefix & 1), n[some].astype(np.float32))
+        self.plain = log_odds(plain, 0.05)
+
+    def bits(self, words: list[bytes], ranks: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The cost in bits of each token."""
+        lengths, cells = [], []
+        hashes = self.coder.contexts(ranks, first)
+        for a in range(0, len(ranks), SLICE):
+            b = a + SLICE
+            node, bit, slots, kind, length = self.coder.decisions(words[a:b], ranks[a:b], [h[a:b] for h in hashes])
+            x = np.zeros((len(bit), 8), np.int8)
+            x[:, 0] = self.plain[node]
+            for k, slot in enumerate(slots):
+                x[:, k + 1] = self.slots[k][slot]
+            gate = (x[:, 2] != 0).view(np.uint8) | (x[:, 3] != 0).view(np.uint8) << 1 | kind << 2
+            x[:, 4] = gate << 1 | bit
+            cells.append(x)
+            lengths.append(length)
+        length = np.concatenate(lengths)
         ends = np.cumsum(length)
         doc_start = (ends - length)[first]
-        cost = run_lanes(np.concatenate(odds), np.concatenate(marks), doc_start, np.diff(np.r_[doc_start, ends[-1]]))
-        return np.add.reduceat(cost, ends - length) + self.coder.within[np.where(ranks < 0, -1, ranks)]
+        with np.errstate(over="ignore"):
+            cost = run_lanes(np.concatenate(cells), doc_start, np.diff(np.r_[doc_start, ends[-1]]))
+        return np.add.reduceat(cost, ends - length)
 
 
-def run_lanes(odds: np.ndarray, marks: np.ndarray, doc_start: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The cost of every bit, from the four inputs of each and its mark (gate and value). Texts are cut
-    into lanes of at most LANE bits that run side by side; a lane's four weights for a gate lie together."""
+def run_lanes(cells: np.ndarray, doc_start: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The cost of every bit, from its cell: the log odds of the four predictors and its mark (gate and
+    value). Texts are cut into lanes of at most LANE bits that run side by side; a lane's four weights
+    for a gate lie together."""
     lanes = -(-sizes // LANE)
     which = np.repeat(np.arange(len(sizes)), lanes)
     k = np.arange(len(which)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
@@ -332,39 +412,56 @@ def run_lanes(odds: np.ndarray, marks: np.ndarray, doc_start: np.ndarray, sizes:
     order = np.argsort(-size, kind="stable")
     cur, size = start[order], size[order]
     n = len(cur)
-    weights = np.repeat(np.tile(FIRST_WEIGHTS, (GATES // 4, 1)) / np.float32(UNIT), n, axis=0).ravel().view(np.complex128)
-    refine = np.repeat(np.tile(((np.arange(STEPS) + 0.5) / STEPS).astype(np.float32), 2), n)
-    inputs = odds.reshape(-1).view(np.int32)
-    cost = np.empty(len(marks), np.float32)
-    active = n - np.searchsorted(size[::-1], np.arange(1, int(size.max(initial=0)) + 1))
-    lane, rate = np.arange(n), np.float32(RATE / UNIT / UNIT)
-    for a in active.tolist():
-        at = cur[:a]
-        mark = marks.take(at).astype(np.int64)
-        truth = (mark & 1).astype(np.float32)
-        row = (mark >> 1) * n
-        row += lane[:a]
-        x = inputs.take(at).view(np.int8).astype(np.float32).reshape(a, 4)
-        w = weights.take(row).view(np.float32).reshape(a, 4)
-        p = np.einsum("ij,ij->i", x, w)
-        np.clip(p, -14, 14, out=p)
-        np.negative(p, out=p)
-        np.exp(p, out=p)
-        p += np.float32(1)
-        np.reciprocal(p, out=p)
-        seat = (p * np.float32(STEPS - 0.001)).astype(np.int64)
-        seat += (mark >> 3) * STEPS
-        seat *= n
-        seat += lane[:a]
-        r = refine.take(seat)
-        cost[at] = np.abs(1 - truth - (p * np.float32(0.75) + r * np.float32(0.25)))
-        r += (truth - r) * np.float32(0.03)
-        refine[seat] = r
-        x *= ((truth - p) * rate)[:, None]
-        w += x
-        weights[row] = w.reshape(-1).view(np.complex128)
-        at += 1
-    return -np.log2(np.maximum(cost, 1e-7))
+    weights = np.repeat(np.tile(FIRST_WEIGHTS, (KINDS, 1)) / np.float32(UNIT), n, axis=0).ravel().view(np.complex128)
+    refine = np.repeat(np.tile(((np.arange(STEPS) + 0.5) / STEPS).astype(np.float32), KINDS), n)
+    cells = cells.reshape(-1).view(np.int64)
+    cost = np.empty(len(cells), np.float32)
+    longest = int(size.max(initial=0))
+    active = (n - np.searchsorted(size[::-1], np.arange(1, longest + 1))).tolist()
+    lane, rate, trust = np.arange(n), np.float32(RATE / UNIT / UNIT), np.float32(REFINED)
+    for begin in range(0, longest, STRIP):
+        # A strip of all lanes: read at once, and laid out step by step.
+        steps, m = min(STRIP, longest - begin), active[begin]
+        at = cur[:m, None] + np.arange(begin, begin + steps)
+        strip = np.ascontiguousarray(cells.take(at, mode="clip").T)
+        inputs = strip.astype(np.int32).view(np.int8).astype(np.float32).reshape(steps, m, 4)
+        strip >>= 32
+        truths = (strip & 1).astype(np.float32)
+        strip >>= 1
+        rows = strip * n
+        rows += lane[:m]
+        strip >>= 2
+        strip *= STEPS * n
+        strip += lane[:m]
+        out = np.empty((steps, m), np.float32)
+        for j in range(steps):
+            a = active[begin + j]
+            x, truth, row = inputs[j, :a], truths[j, :a], rows[j, :a]
+            w = weights.take(row).view(np.float32).reshape(a, 4)
+            pair = (x * w).view(np.complex64)
+            p = pair[:, 0] + pair[:, 1]
+            p = p.real + p.imag
+            np.negative(p, out=p)
+            np.exp(p, out=p)
+            p += np.float32(1)
+            np.reciprocal(p, out=p)
+            seat = (p * np.float32(STEPS - 0.001)).astype(np.int64)
+            seat *= n
+            seat += strip[j, :a]
+            r = refine.take(seat)
+            off = truth - r
+            truth -= p
+            out[j, :a] = truth + (off - truth) * trust
+            off *= np.float32(0.03)
+            r += off
+            refine[seat] = r
+            truth *= rate
+            x *= truth[:, None]
+            w += x
+            weights[row] = w.reshape(-1).view(np.complex128)
+        there = size[:m, None] > np.arange(begin, begin + steps)
+        cost[at[there]] = out.T[there]
+    return -np.log2(np.maximum(1 - np.abs(cost), 1e-7))
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[Mixer, DataFrame, int, int]:
@@ -373,9 +470,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tupl
     counts = count_tokens(texts)
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     words, own = frequent(counts, WORDS)
-    coder = Coder(words, own, int(min(MOST_BITS, max(14, math.ceil(math.log2(total + 1)) - 2))))
-    one, two, pairs = gather(texts, coder)
-    return Mixer(coder, own, one, two, pairs, total), counts, total, distinct
+    coder = Coder(words, own, int(min(MOST_BITS, max(14, math.ceil(math.log2(total + 1)) + 1))))
+    return Mixer(coder, own, *gather(texts, coder), total), counts, total, distinct
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -391,20 +487,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         known = len(model.log_counts)
         for batch in batches:
             at, bounds = 0, np.r_[0, np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0))]
-            for part in flat(batch.column(1), SUB // 16):
+            for part in flat(batch.column(1), SUB):
                 words, sizes, first = joined(part)
                 ranks = model.coder.ranks(words)
                 starts = np.cumsum(sizes) - sizes
-                log10 = model.bits(ranks, first) * -math.log10(2)
-                spelled = np.flatnonzero(ranks < 0)
-                if len(spelled):
-                    own = [words[i] for i in spelled]
-                    ends = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1)
-                    log10[spelled] += np.add.reduceat(model.letter[letters(own)], np.r_[0, ends[:-1]])
+                log10 = model.bits(words, ranks, first) * -math.log10(2)
                 seen = ranks >= 0
                 base = np.where(seen, model.log_counts[np.where(seen, ranks, 0)] if known else 0.0, 0.0)
                 add = lambda x: np.add.reduceat(x, starts)
-                rare = spelled
+                rare = np.flatnonzero(ranks < 0)
                 owner = np.searchsorted(starts, rare, side="right") - 1
                 offsets = np.searchsorted(owner, np.arange(len(sizes) + 1)).astype(np.int32)
                 n_bytes = np.diff(bounds[at : at + len(sizes) + 1])

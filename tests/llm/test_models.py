@@ -83,33 +83,106 @@ def test_mixing_learns_order(spark):
 
 def test_code_words_are_a_prefix_code():
     counts = np.sort(np.random.default_rng(0).integers(1, 1000, 3000))[::-1]
-    code, length, _, within = mixing.code_words(counts)
-    share = defaultdict(float)
-    for c, n, w in zip(code, length, within):
-        share[(int(c), int(n))] += 2.0**-w
-        assert (1 << int(n)) <= c < (2 << int(n))
-    assert all(abs(s - 1) < 1e-6 for s in share.values())
-    strings = sorted({format(int(c), "b")[1:] for c in code})
-    assert not any(b.startswith(a) for a, b in zip(strings, strings[1:]))
+    words = [f"{i * 7919 % 3000:04}".encode() for i in range(3000)]
+    code, length, _ = mixing.code_words(words, counts)
+    letters, sizes = mixing.letter_codes(words)
+    for c, n in ((code, length), (letters, sizes)):
+        assert all(1 << int(k) <= x < 2 << int(k) for x, k in zip(c, n))
+        strings = sorted(format(int(x), "b")[1:] for x in c)
+        assert len(set(strings)) == len(c) and not any(b.startswith(a) for a, b in zip(strings, strings[1:]))
 
 
-def test_scores_do_not_depend_on_the_batch():
-    words = prose(3, 400).split()
+def small_model(seed=3, bits=14):
+    words = prose(seed, 400).split() * 2 + prose(seed + 1, 300).split()
     counts = Counter(w.encode() for w in words)
-    known = sorted(counts, key=lambda w: (-counts[w], w))
+    known = sorted((w for w in counts if counts[w] > 1), key=lambda w: (-counts[w], w))
     n = np.array([counts[w] for w in known])
-    coder = mixing.Coder(known, n, 14)
-    model = mixing.Mixer(coder, n, np.zeros(1 << 14, np.int8), np.zeros(1 << 14, np.int8), np.ones(65536, np.int64), int(n.sum()))
+    coder = mixing.Coder(known, n, bits)
+    g = np.random.default_rng(seed)
+    slots = [np.where(g.random(1 << bits) < 0.4, g.integers(-60, 60, 1 << bits), 0).astype(np.int8) for _ in range(3)]
+    return mixing.Mixer(coder, n, slots, g.integers(0, 50, 256), int(sum(counts.values())))
+
+
+def test_scores_do_not_depend_on_the_batch():
+    model = small_model()
     parts = [[w.encode() for w in prose(i, 50 + 400 * (i % 3)).split()] + [b""] for i in range(3, 9)]
     alone = []
     for p in parts:
         ws, _, first = mixing.joined([p])
-        alone.append(model.bits(coder.ranks(ws), first).sum())
+        alone.append(model.bits(ws, model.coder.ranks(ws), first).sum())
     ws, sizes, first = mixing.joined(parts)
-    together = np.add.reduceat(model.bits(coder.ranks(ws), first), np.cumsum(sizes) - sizes)
+    together = np.add.reduceat(model.bits(ws, model.coder.ranks(ws), first), np.cumsum(sizes) - sizes)
     assert np.allclose(alone, together, rtol=1e-4)
 
 
+def scalar_bits(model, words):
+    """The cost of each token of a text, bit by bit in plain Python."""
+    coder, index = model.coder, {w: i for i, w in enumerate(model.coder.words)}
+    u = lambda x: x & 0xFFFFFFFF
+
+    def mixed(h, *more):
+        out = u((u(h) + 1) * 2654435761)
+        for x in more:
+            out = u((out ^ u(u(x + 7) * 2246822519)) * 3266489917)
+            out ^= out >> 13
+        return out
+
+    def slot(h, node):
+        x = u(u(h ^ u(node * 668265263)) * 374761393)
+        x ^= x >> 15
+        return u(x * 2246822519) >> 32 - coder.bits
+
+    symbols, owner, history, topic = [], [], [mixing.START, mixing.START], mixing.NONE
+    for t, w in enumerate(words):
+        rank = index.get(w, -1)
+        one, two = history[-1], history[-2]
+        symbols.append((int(coder.code[rank]), int(coder.length[rank]), (mixed(topic), mixed(one), mixed(one, two)), 0))
+        owner.append(t)
+        history.append(mixing.RARE if rank < 0 else rank)
+        if 0 <= rank < mixing.TOPICS:
+            topic = rank
+        if rank < 0:
+            text = b"\n" * 4 + w + b"\n"
+            for i in range(4, len(text)):
+                p = [text[i - 1]]
+                for k in (2, 3, 4):
+                    p.append(10 if p[-1] == 10 else text[i - k])
+                pair = p[0] | p[1] << 8
+                symbols.append((int(coder.letter_code[text[i]]), int(coder.letter_length[text[i]]), (mixed(p[0], p[0]), mixed(pair, pair), mixed(pair, p[2] | p[3] << 8)), 2))
+                owner.append(t)
+    costs, done = [0.0] * len(words), 0
+    for t, (code, length, hashes, kind) in zip(owner, symbols):
+        for j in range(length):
+            if done % mixing.LANE == 0:
+                weights = {g: [float(x) for x in mixing.FIRST_WEIGHTS[g % 4]] for g in range(4 * mixing.KINDS)}
+                refine = {(k, i): (i + 0.5) / mixing.STEPS for k in range(mixing.KINDS) for i in range(mixing.STEPS)}
+            done += 1
+            prefix = code >> length - j
+            bit = code >> length - j - 1 & 1
+            node = prefix + (coder.nodes if kind == 2 else 0)
+            x = [int(model.plain[node]), *(int(s[slot(h, node)]) for s, h in zip(model.slots, hashes))]
+            sort = kind or int(prefix > coder.classes)
+            gate = (x[2] != 0) | (x[3] != 0) << 1 | sort << 2
+            x = [v / mixing.UNIT for v in x]
+            p = 1 / (1 + math.exp(-sum(a * b for a, b in zip(weights[gate], x))))
+            seat = sort, int(p * (mixing.STEPS - 0.001))
+            q = (1 - mixing.REFINED) * p + mixing.REFINED * refine[seat]
+            costs[t] -= math.log2(q if bit else 1 - q)
+            refine[seat] += (bit - refine[seat]) * 0.03
+            weights[gate] = [a + (bit - p) * mixing.RATE * b for a, b in zip(weights[gate], x)]
+    return costs
+
+
+def test_lanes_against_a_scalar_mixer(monkeypatch):
+    monkeypatch.setattr(mixing, "LANE", 700)
+    model = small_model(5)
+    texts = [[w.encode() for w in (prose(5, 150) + " unknown Wörd " + prose(40 + i, 60 * i)).split()] + [b""] for i in range(4)] + [[b""]]
+    ws, sizes, first = mixing.joined(texts)
+    got = model.bits(ws, model.coder.ranks(ws), first)
+    want = np.concatenate([scalar_bits(model, t) for t in texts])
+    assert np.allclose(got, want, rtol=2e-3, atol=2e-3) and abs(got.sum() - want.sum()) < 1e-3 * want.sum()
+
+
 def exact(ids, vectors, k=5):
     out = {}
     for q, v in zip(ids, vectors):
