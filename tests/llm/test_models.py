@@ -219,14 +219,29 @@ def test_recall_and_ties(spark):
     from pyspark.sql import functions as F
 
     got = defaultdict(list)
-    for r in neighbours.nearest(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+    for r in neighbours.nearest(df.unionByName(df.filter("vec_id in (0, 50)")), F.col("vec_id") % 50 == 0, values=16 * 90).orderBy("query_id", "rank").collect():
+        assert r.rank == len(got[r.query_id]) + 1 and 1 <= r.n_blocks <= 14
         got[r.query_id].append(r.vec_id)
-    want = exact(ids.tolist(), vectors.astype(np.float64).tolist())
+    again = [0, 50]
+    want = exact([*ids.tolist(), *again], [*vectors.astype(np.float64).tolist(), *(vectors[list(ids).index(i)].astype(np.float64).tolist() for i in again)])
     hits = sum(len(set(got[q]) & {i for _, i in near}) for q, near in want.items())
     assert hits >= 0.9 * sum(map(len, want.values()))
     copies = sorted(int(i) for i in ids[900:])
     for q in (x for x in copies if x % 50 == 0):
-        assert got[q] == [x for x in copies if x != q][:5]
+        assert got[q] == sorted([x for x in copies if x != q] + [x for x in again if x in copies and x != q])[:5]
+
+
+def test_clustered_vectors_are_searched_in_few_blocks(spark):
+    from pyspark.sql import functions as F
+
+    g = np.random.default_rng(4)
+    centres = g.standard_normal((12, 16))
+    vectors = (np.repeat(centres, 100, axis=0) + 0.05 * g.standard_normal((1200, 16))).astype(np.float32)
+    wide = spark.createDataFrame([(i, v.tolist(), f"clash {i}") for i, v in enumerate(vectors)], "vec_id long, embedding array<float>, cell string").selectExpr("*", "1 as n", "2 as salt", "'x' as p", "0 as v", "1 as qkey")
+    rows = neighbours.nearest(wide, F.col("vec_id") % 50 == 0, values=16 * 100).collect()
+    want = exact(list(range(1200)), vectors.astype(np.float64).tolist())
+    assert sum(r.vec_id in {i for _, i in want[r.query_id]} for r in rows) >= 0.95 * len(rows) == 0.95 * 120
+    assert sum(r.n_blocks for r in rows) / len(rows) < 6
 
 
 def test_chi_square():
