@@ -4,8 +4,13 @@ Records are grouped into independent Zstandard frames; a skippable frame with a
 file, so that one frame can be read without the others. The writer returns an index that maps every
 record to its archive, its frame and its offset inside the decompressed frame.
 
-Defined results: a null payload is empty, a null page_id gives an urn ending in "null", equal rows give
-equal records. Of equal payloads from ``dedup_from`` bytes on, the rows with the largest page_id are
+Record ids are unique: ``urn:page:ID`` for the first row of an id and a payload, with the task and a
+number behind it for further equal rows and for null ids (equal rows meet in one task, as the rows are
+dealt by id and digest). A response holds an HTTP response whose body is the payload; a revisit holds
+that response's head.
+
+Defined results: a null payload is empty, a null page_id gives an urn with "null", equal rows give a
+record each. Of equal payloads from ``dedup_from`` bytes on, the rows with the largest page_id are
 responses and all others revisit it; a null id never is the largest unless all are null. An empty
 table gives no archive and no record. Only the named columns of the input are read.
 """
@@ -14,12 +19,13 @@ from __future__ import annotations
 
 import hashlib
 import struct
+from datetime import UTC, datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slatewing.llm.common import scratch, table
+from slatewing.llm.common import scratch, settle, table
 
 # Fixed values of the Zstandard seekable format.
 SKIPPABLE_MAGIC = 0x184D2A5E
@@ -36,28 +42,36 @@ def planned(pages: DataFrame, id_col: str, url_col: str, payload_col: str, dedup
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("uri"), payload.alias("payload"))
     keyed = rows.select("page_id", F.sha1("payload").alias("digest"), F.octet_length("payload").alias("n"))
     large = keyed.filter(F.col("n") >= dedup_from)
+    # Settled, so that both sides of the join are plain shuffles and the rows of a hot digest can be split.
     groups = large.groupBy("digest").agg(F.max("page_id").alias("target"), F.count(F.lit(1)).alias("copies")).filter("copies > 1 and target is not null").select(F.col("digest").alias("target_digest"), "target")
+    groups = settle(groups)
     revisits = large.join(groups, (F.col("digest") == F.col("target_digest")) & ~F.col("page_id").eqNullSafe(F.col("target"))).select(F.col("page_id").alias("revisit_id"), "digest", "target").distinct()
     rows = rows.withColumn("payload_digest", F.sha1("payload"))
-    return rows.join(revisits, rows.page_id.eqNullSafe(revisits.revisit_id) & (rows.payload_digest == revisits.digest), "left").select("page_id", "uri", "payload", "payload_digest", F.col("target").alias("refers_to"))
+    return rows.join(revisits.hint("merge"), rows.page_id.eqNullSafe(revisits.revisit_id) & (rows.payload_digest == revisits.digest), "left").select("page_id", "uri", "payload", "payload_digest", F.col("target").alias("refers_to"))
 
 
-def record(page_id, uri, payload: bytes, digest: str, refers_to) -> tuple[str, bytes]:
-    """One WARC/1.1 record; a revisit has the headers of its full payload and an empty block."""
-    name = f"urn:page:{'null' if page_id is None else page_id}"
+def record(name: str, uri, payload: bytes, digest: str, refers_to, date: str) -> bytes:
+    """One WARC/1.1 record; a revisit has the head of its full response and no payload."""
     kind = "response" if refers_to is None else "revisit"
-    body = payload if refers_to is None else b""
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{name}>", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(payload)}"]
+    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    block = head + payload if refers_to is None else head
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{name}>", f"WARC-Date: {date}", f"WARC-Payload-Digest: sha1:{digest}"]
     if uri is not None:
-        head.append("WARC-Target-URI: " + uri.replace("\r", "%0D").replace("\n", "%0A"))
+        lines.append("WARC-Target-URI: " + uri.replace("\r", "%0D").replace("\n", "%0A"))
     if refers_to is not None:
-        head += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
-    head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(body)}", "", ""]
-    return name, "\r\n".join(head).encode() + body + b"\r\n\r\n"
+        lines += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+    lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]
+    return "\r\n".join(lines).encode() + block + b"\r\n\r\n"
+
+
+def body_of(block: bytes) -> tuple[int, bytes]:
+    """The payload's full length by the HTTP head, and what the block holds of it."""
+    head, _, body = block.partition(b"\r\n\r\n")
+    return int(dict(x.split(b": ", 1) for x in head.split(b"\r\n")[1:])[b"Content-Length"]), body
 
 
 def parse(block: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
-    """Headers, body and the end of the record that begins at ``at``."""
+    """Headers, block and the end of the record that begins at ``at``."""
     stop = block.index(b"\r\n\r\n", at)
     lines = block[at:stop].decode().split("\r\n")
     if lines[0] != "WARC/1.1":
@@ -125,14 +139,16 @@ def seek_table(source, size: int) -> list[tuple[int, int, int]]:
     return frames
 
 
-def write_archives(rows: DataFrame, folder: str, level: int = 3, frame_bytes: int = 1 << 18) -> DataFrame:
+def write_archives(rows: DataFrame, folder: str, level: int = 3, frame_bytes: int = 1 << 18, date: str | None = None) -> DataFrame:
     """Writes each partition of the planned rows to one file in a shared folder and returns the index.
     The payloads were dealt out by the join (or the scan) already, in parts of the session's usual
     size, and aren't shuffled again.
 
     A file appears under its name only when it is whole, and every attempt of a task has a name of its
     own, which the index of that attempt names: a lost executor or a second attempt leaves at most a
-    file that no index entry points to, never a torn or a changed one."""
+    file that no index entry points to, never a torn or a changed one. ``date`` is every record's
+    WARC-Date, by default the time of this call."""
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def write(batches):
         import os
@@ -146,14 +162,16 @@ def write_archives(rows: DataFrame, folder: str, level: int = 3, frame_bytes: in
         name = f"part-{context.partitionId():06d}-{context.taskAttemptId()}.warc.zst"
         attempt = f"{base}/.{name}.{os.getpid()}"
         sink = writer = None
-        where = []
+        where, last = [], None
         for pdf in batches:
             for page_id, uri, payload, digest, refers in zip(pdf["page_id"], pdf["uri"], pdf["payload"], pdf["payload_digest"], pdf["refers_to"]):
                 if writer is None:
                     sink = store.open_output_stream(attempt)
                     writer = FrameWriter(sink, level, frame_bytes)
                 page_id, refers = (None if pd.isna(x) else int(x) for x in (page_id, refers))
-                urn, data = record(page_id, None if pd.isna(uri) else uri, payload, digest, refers)
+                again, last = (page_id, digest) == last, (page_id, digest)
+                urn = f"urn:page:{'null' if page_id is None else page_id}" + (f":{context.partitionId()}-{len(where)}" if again or page_id is None else "")
+                data = record(urn, None if pd.isna(uri) else uri, payload, digest, refers, date)
                 where.append((page_id, urn, *writer.add(data), len(data)))
         if writer is None:
             return
@@ -195,13 +213,13 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
                 block, at = unpack.decompress(source.read(packed), max_output_size=plain), 0
                 while at < len(block):
                     begin = at
-                    headers, body, at = parse(block, begin)
+                    headers, held, at = parse(block, begin)
                     urn = headers["WARC-Record-ID"][1:-1]
-                    page, refers = urn.rpartition(":")[2], headers.get("WARC-Refers-To")
-                    whole = refers is None
+                    page, refers = urn.split(":")[2], headers.get("WARC-Refers-To")
+                    (length, body), whole = body_of(held), refers is None
                     out.append((
                         None if page == "null" else int(page), urn, headers.get("WARC-Target-URI"), headers["WARC-Type"], None if whole else int(refers[1:-1].rpartition(":")[2]),
-                        len(body) if whole else int(headers["X-Payload-Length"]), hashlib.sha1(body).hexdigest() if whole else headers["WARC-Payload-Digest"].removeprefix("sha1:"), archive, frame, begin,
+                        len(body) if whole else length, hashlib.sha1(body).hexdigest() if whole else headers["WARC-Payload-Digest"].removeprefix("sha1:"), archive, frame, begin,
                     ))
                 if len(out) >= 5_000:
                     yield frame_of(out)
@@ -229,8 +247,8 @@ def fetch(folder: str, archive: str, frame_start: int, frame_bytes: int, offset:
     with store.open_input_file(f"{base}/{archive}") as source:
         source.seek(frame_start)
         block = zstandard.ZstdDecompressor().decompress(source.read(frame_bytes))
-    headers, body, _ = parse(block, offset)
-    return headers, body
+    headers, held, _ = parse(block, offset)
+    return headers, body_of(held)[1]
 
 
 def archive_pages(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", dedup_from: int = 1000, level: int = 3, frame_bytes: int = 1 << 18) -> tuple[DataFrame, str]:

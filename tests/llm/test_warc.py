@@ -9,11 +9,13 @@ def test_round_trip(spark, awkward, tmp_path):
     pages = spark.read.parquet(f"{awkward}/pages.parquet")
     index, folder = warc.archive_pages(pages, f"file://{tmp_path}/w", frame_bytes=4000)
     places = index.collect()
-    assert len(places) == pages.count()
+    assert len(places) == pages.count() == len({r.record_id for r in places})
     raw = {None if r.html is None else hashlib.sha1(r.html.encode()).hexdigest() for r in pages.collect()}
     for r in places:
         headers, body = warc.fetch(f"{folder}/archives", r.archive, r.frame_start, r.frame_bytes, r.offset)
-        assert headers["WARC-Record-ID"] == f"<{r.record_id}>"
+        assert headers["WARC-Record-ID"] == f"<{r.record_id}>" and len(headers["WARC-Date"]) == 20
+        if headers["WARC-Type"] == "revisit":
+            assert headers["WARC-Refers-To"][1:-1] in {x.record_id for x in places}
         if headers["WARC-Type"] == "response":
             assert hashlib.sha1(body).hexdigest() == headers["WARC-Payload-Digest"].removeprefix("sha1:")
         assert headers["WARC-Payload-Digest"].removeprefix("sha1:") in raw | {hashlib.sha1(b"").hexdigest()}
@@ -44,3 +46,12 @@ def test_seek_table():
     starts = writer.close()
     table = warc.seek_table(sink, len(sink.getvalue()))
     assert places == [(i, 0) for i in range(5)] and [(a, b) for a, b, _ in table] == starts and [c for *_, c in table] == [60] * 5
+
+
+def test_a_third_of_the_pages_alike(spark):
+    rows = [(i, f"u{i}", ("hot " * 400) if i % 3 == 0 else f"page {i} " * 200) for i in range(900)] + [(999, "u", "hot " * 400)] * 3
+    got = warc.read_archives(*(lambda x: (x[0], f"{x[1]}/archives"))(warc.archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as digest", "2 as n", "3 as target", "'x' as payload", "'y' as uri")))).collect()
+    assert len(got) == 903 and len({r.record_id for r in got}) == 903
+    hot = hashlib.sha1(("hot " * 400).encode()).hexdigest()
+    for r in got:
+        assert (r.record_type, r.refers_to) == (("revisit", 999) if r.payload_digest == hot and r.page_id != 999 else ("response", None))
