@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slatewing.llm.common import DOC_COLUMNS, table
+from slatewing.llm.common import DOC_COLUMNS, stored, table
 
 LEAST, MOST = 24, 192
 WINDOW = 16
@@ -124,8 +124,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("k1"), text.cast("binary").alias("text")).filter(F.length("text") > 0)
     rows = chunk_rows(texts)  # cut twice: that costs less than storing them
     place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "k1", "at")
-    known = rows.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("d1", "d2", "first")
-    again = rows.join(known, ["d1", "d2"]).select("doc_id", "k1", F.shiftright("at", 8).alias("start"), F.col("at").bitwiseAND(255).alias("size"), (place == F.col("first")).alias("first")).distinct()
+    known = rows.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # Stored, so that both sides of the join are plain shuffles and the rows of a hot digest can be split.
+    known = stored(known.select("d1", "d2", F.xxhash64("first.doc_id", "first.k1", "first.at").alias("first")), "repeated")
+    again = rows.join(known, ["d1", "d2"]).select("doc_id", "k1", F.shiftright("at", 8).alias("start"), F.col("at").bitwiseAND(255).alias("size"), (F.xxhash64("doc_id", "k1", "at") == F.col("first")).alias("first")).distinct()
     return again.groupBy("doc_id", "k1").agg(F.array_sort(F.collect_list(F.struct("start", "size", "first"))).alias("chunks"))
 
 
