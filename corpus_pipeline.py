@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from slatewing.llm import chunks, decontaminate, packing, quality, simhash
 from slatewing.llm.common import DOC_COLUMNS, scratch, table
+from slatewing.sources.storage import CREATED, release
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,12 +48,15 @@ STAGES = [
     ("benchmark decontamination", drop_leaks),
     ("best-fit packing", pack),
 ]
-#: The stages' hashing, learning and packing are beyond SQL; tests hold them against brute force.
+#: The stages' hashing, learning and packing are beyond SQL; tests/llm hold the operators, and each stage on a
+#: small table, against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. What a stage has stored on the way is removed once its result is written;
+    the last stage's input stays, as its rows are read when the result is."""
+    docs, since = table(spark, sf_dir, "documents"), len(CREATED)
     for k, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         if k == len(STAGES) - 1:
@@ -60,4 +64,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = scratch(spark, f"stage{k}")
         out.write.parquet(path)
         docs = spark.read.schema(out.schema).parquet(path)
+        release(spark, path, since=since)
     return docs

@@ -1,6 +1,6 @@
 """Command line: queries over a folder of tables, or building its indexes.
 
-python -m slatewing.cli --data DIR [--loose] query.sql ...
+python -m slatewing.cli --data DIR [--index DIR] [--loose] query.sql ...
 python -m slatewing.cli --build --data DIR --index DIR schema.sql ...
 """
 
@@ -22,7 +22,7 @@ from slatewing.sources.pipe import lines
 def main(argv: list[str] | None = None, out=None) -> int:
     parser = argparse.ArgumentParser(prog="slatewing", description=__doc__)
     parser.add_argument("--data", required=True, help="folder with the tables' files")
-    parser.add_argument("--index", help="folder of the indexes")
+    parser.add_argument("--index", help="folder of the indexes: where to build them, or which to use in filters")
     parser.add_argument("--build", action="store_true", help="build the declared indexes and stop")
     parser.add_argument("--loose", action="store_true", help="allow selected columns that are not grouped")
     parser.add_argument("scripts", nargs="+")
@@ -39,8 +39,9 @@ def main(argv: list[str] | None = None, out=None) -> int:
         for path in IndexStore(spark, args.index).build_all(catalog):
             print(path, file=out)
         return 0
+    store = IndexStore(spark, args.index) if args.index else None
     for text in texts:
-        for df in run(spark, text, catalog, args.loose):
+        for df in run(spark, text, catalog, args.loose, store):
             for row in lines(df):
                 print(row, file=out)
     return 0

@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slatewing.functions.compat import any_of_group, ci, fold, logical_and, logical_or, logical_xor, trunc_div
+from slatewing.functions.compat import any_of_group, ci, float_text, fold, logical_and, logical_or, logical_xor, trunc_div
 from slatewing.operators.relational import aggregate, join, join_all, join_lookup, project, sort, top, where
 from slatewing.plans.script import run
 from slatewing.sources.catalog import Catalog
 from slatewing.sources.index import IndexStore
-from slatewing.sources.pipe import read_pipe, write_pipe
+from slatewing.sources.pipe import line, read_pipe, write_pipe
 from slatewing.sources.storage import scratch
 
 col = F.col
@@ -316,9 +316,22 @@ def int_to_float(t):
     return project(t("part"), "p_partkey", size=col("p_size").cast("double"))
 
 
-@query(None)
+@query("select p_partkey, cast(cast(p_retailprice as float) as varchar) as price from part")
+def float_text_prices(t):
+    return project(t("part"), "p_partkey", price=float_text("p_retailprice"))
+
+
+@query("select n_regionkey, any_value(r_name) as some_region, count(*) as n from nation, region where n_regionkey = r_regionkey group by n_regionkey")
 def nongrouped_any_value(t):
-    return t("orders").groupBy("o_orderstatus").agg(any_of_group("o_orderpriority").alias("some_priority"), F.count(F.lit(1)).alias("n"))
+    """A column that isn't grouped, in groups in which it is constant: so the result is defined."""
+    wide = join(t("nation"), t("region"), col("n_regionkey") == col("r_regionkey"))
+    return wide.groupBy("n_regionkey").agg(any_of_group("r_name").alias("some_region"), F.count(F.lit(1)).alias("n"))
+
+
+@query("select max(c_name) as c_name, count(*) as n from customer where c_custkey = 7")
+def nongrouped_global(t):
+    """The same in a global aggregate."""
+    return aggregate(where(t("customer"), col("c_custkey") == 7), any_of=("c_name",), n=F.count(F.lit(1)))
 
 
 @query("select o_orderkey, c_name from orders, customer where o_custkey = c_custkey and o_totalprice > 300000")
@@ -326,13 +339,19 @@ def index_loop_join(t):
     return project(join_lookup(where(t("orders"), col("o_totalprice") > 300000), t("customer"), col("o_custkey") == col("c_custkey")), "o_orderkey", "c_name")
 
 
+STORES: dict[tuple, IndexStore] = {}
+
+
 def indexed(name: str, table: str, column: str, look, sql: str) -> None:
-    """Registers a lookup in a sorted copy that is written first."""
+    """Registers a lookup in a sorted copy, which is built once a session and data folder."""
 
     def over(spark: SparkSession, sf_dir: str) -> DataFrame:
-        store = IndexStore(spark, scratch(spark, "index"))
-        store.build(spark.read.parquet(f"{sf_dir}/{table}.parquet"), table, column, "PK" if name == "index_point" else "IDX")
-        return look(store)
+        key = spark.sparkContext.applicationId, sf_dir, table, column
+        if key not in STORES:
+            store = IndexStore(spark, scratch(spark, "index"))
+            store.build(spark.read.parquet(f"{sf_dir}/{table}.parquet"), table, column, "PK" if name == "index_point" else "IDX")
+            STORES[key] = store
+        return look(STORES[key])
 
     register(name, over, sql)
 
@@ -368,4 +387,49 @@ scripted(
     "script_group_sort", "select o_orderpriority, count(*) as n, round(sum(o_totalprice), 2) as total from orders where (o_orderstatus = 'F' or o_orderstatus = 'O') and o_orderdate >= date '1996-01-01' group by o_orderpriority order by n desc, o_orderpriority limit 3",
     "orders",
 )
-scripted("script_loose_group", "select o_orderstatus, o_orderpriority, count(*) as n from orders group by o_orderstatus", "orders", loose=True, oracle=False)
+scripted(
+    "script_loose_group", "select n_regionkey, r_name, count(*) as n from nation join region on n_regionkey = r_regionkey group by n_regionkey", "nation", "region", loose=True,
+    sql="select n_regionkey, any_value(r_name) as r_name, count(*) as n from nation join region on n_regionkey = r_regionkey group by n_regionkey",
+)
+scripted("script_inner_order", "select o_orderstatus, o_orderkey from (select o_orderstatus, o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 50) x where o_orderstatus <> 'P' order by o_orderkey", "orders")
+scripted("script_where_in", "select c_custkey, c_name from customer where c_custkey in (select o_custkey from orders where o_totalprice > 300000) and c_acctbal > (select avg(c_acctbal) from customer)", "customer", "orders")
+scripted("script_where_exists", "select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)", "customer", "orders")
+scripted(
+    "script_two_levels", "select segment, n from (select segment, count(*) as n from (select c_mktsegment as segment, o_totalprice as price from customer, orders where c_custkey = o_custkey) y where price > 100000 group by segment) x where n > 10",
+    "customer", "orders",
+)
+scripted("script_subquery_in_join", "select n_name, customers from nation join (select c_nationkey as nation, count(*) as customers from customer group by c_nationkey) c on n_nationkey = c.nation", "nation", "customer")
+
+DECLARED = """
+CREATE TABLE ORDERS (orderkey INT, custkey INT, status CHAR(1), price DECIMAL, day DATE, priority VARCHAR(15), PRIMARY KEY (orderkey), INDEX byday (day));
+CREATE TABLE CUSTOMER (custkey INT, name VARCHAR(25), segment CHAR(10))
+"""
+
+
+def declared(name: str, text: str, sql: str, index: bool = False) -> None:
+    """Registers the last query of a script whose tables are declared over pipe-delimited files, as the
+    lines that it prints. With ``index``, the declared indexes are built first and used."""
+
+    def over(spark: SparkSession, sf_dir: str) -> DataFrame:
+        folder, read = scratch(spark, "declared"), lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+        write_pipe(read("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", F.to_date("o_orderdate"), "o_orderpriority"), f"{folder}/ORDERS.dat")
+        write_pipe(read("customer").select("c_custkey", "c_name", "c_mktsegment"), f"{folder}/customer.tbl")
+        catalog, store = Catalog(spark, folder), None
+        if index:
+            list(run(spark, DECLARED, catalog))
+            store = IndexStore(spark, scratch(spark, "index"))
+            store.build_all(catalog)
+        out = list(run(spark, f"{DECLARED}\n{text}", catalog, store=store))[-1]
+        return out.select(line(out, "null").alias("line"))
+
+    register(name, over, sql)
+
+
+declared(
+    "ddl_pipe_files", "select o.orderkey, name, priority, day from orders o, customer c where o.custkey = c.custkey and status = 'F' and day < date '1996-01-01'",
+    "select concat_ws('|', o_orderkey, c_name, o_orderpriority, strftime(o_orderdate, '%Y-%m-%d')) as line from orders, customer where o_custkey = c_custkey and o_orderstatus = 'F' and o_orderdate < date '1996-01-01'",
+)
+declared(
+    "ddl_indexed_range", "select orderkey, status from orders where day >= date '1996-01-01' and day < date '1996-02-01' and status <> 'F'",
+    "select concat_ws('|', o_orderkey, o_orderstatus) as line from orders where o_orderdate >= date '1996-01-01' and o_orderdate < date '1996-02-01' and o_orderstatus <> 'F'", index=True,
+)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from slatewing.sources.catalog import Catalog
 from slatewing.sources.ddl import parse_create
+from slatewing.sources.index import IndexStore
 
 TOKEN = re.compile(r"--[^\n]*|/\*.*?\*/|'(?:[^']|'')*'|\"[^\"]*\"|`[^`]*`|[A-Za-z_]\w*|[();]", re.S)
 #: After these words a SELECT goes on with the same statement.
@@ -91,11 +92,50 @@ def select(spark: SparkSession, statement: str, loose: bool = False) -> DataFram
             statement = f"{head} {', '.join(changed)} {tail}"
 
 
-def run(spark: SparkSession, text: str, catalog: Catalog, loose: bool = False) -> Iterator[DataFrame]:
+#: A column of a condition that is compared with something, as the optimizer writes it.
+COMPARED = re.compile(r"`?(\w+)`? (?:=|>=|<=|>|<) ")
+
+
+def ranges(df: DataFrame) -> Iterator[tuple[str, list[str]]]:
+    """The file path of each filtered scan of a query, and the columns that its filter compares, in order."""
+
+    def walk(node):
+        if node.nodeName() == "Filter" and (child := node.child()).nodeName() == "LogicalRelation":
+            for path in re.findall(r"[\w+.-]+:/[^\s,\]\)]+", child.relation().location().rootPaths().mkString(" ")):
+                yield path, list(dict.fromkeys(COMPARED.findall(node.condition().sql())))
+        children = node.children()
+        for i in range(children.size()):
+            yield from walk(children.apply(i))
+
+    yield from walk(df._jdf.queryExecution().optimizedPlan())
+
+
+def through_indexes(spark: SparkSession, df: DataFrame, statement: str, loose: bool, catalog: Catalog, store: IndexStore) -> DataFrame:
+    """The query once more with each declared table whose filter compares an indexed column read from
+    that index, a sorted copy of the table, whose files' statistics skip what the filter leaves out."""
+    swapped = []
+    for path, columns in ranges(df):
+        name = next((n for n, p in catalog.paths.items() if path.rstrip("/").endswith(p.rstrip("/").split(":", 1)[-1].lstrip("/"))), None)
+        table = catalog.tables.get(name)
+        found = next((x for c in columns if table and any(c.lower() == k.lower() for keys in table.keys.values() for k in keys) and (x := store.choose(table.name, c))), None)
+        if found:
+            spark.read.parquet(found).createOrReplaceTempView(name)
+            swapped.append(name)
+    if not swapped:
+        return df
+    try:
+        return select(spark, statement, loose)
+    finally:
+        for name in swapped:
+            catalog.view(name)
+
+
+def run(spark: SparkSession, text: str, catalog: Catalog, loose: bool = False, store: IndexStore | None = None) -> Iterator[DataFrame]:
     """Registers each declared table and gives the result of each query, in order. Declarations stay
-    for later scripts over the same catalog."""
+    for later scripts over the same catalog. With a ``store``, filters on indexed columns use its indexes."""
     for statement in split(text):
         if re.match(r"create\s+table\b", statement, re.I):
             catalog.declare(parse_create(statement))
         else:
-            yield select(spark, statement, loose)
+            df = select(spark, statement, loose)
+            yield through_indexes(spark, df, statement, loose, catalog, store) if store else df

@@ -22,20 +22,23 @@ class Catalog:
     """Names are not case-sensitive, neither for tables nor for files."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder, self.tables = spark, folder.rstrip("/"), {}
+        self.spark, self.folder, self.tables, self.paths = spark, folder.rstrip("/"), {}, {}
         self.files = entries(spark, self.folder)
 
     def declare(self, table: Table) -> DataFrame:
         """Registers a declared table over NAME.dat, NAME.tbl, NAME.csv or NAME.parquet; without such a
         file it is an error, not an empty table."""
         name = table.name.lower()
-        self.tables[name] = table
-        if path := next((self.files[name + x] for x in ENDINGS if name + x in self.files), None):
-            df = read_pipe(self.spark, path, table.schema)
-        elif path := self.files.get(f"{name}.parquet"):
-            df = self.spark.read.parquet(path)
-        else:
+        path = next((self.files[name + x] for x in (*ENDINGS, ".parquet") if name + x in self.files), None)
+        if not path:
             raise FileNotFoundError(f"no file for table {table.name} in {self.folder}")
+        self.tables[name], self.paths[name] = table, path
+        return self.view(name)
+
+    def view(self, name: str) -> DataFrame:
+        """The declared table's rows, (again) as the view of that name."""
+        path = self.paths[name]
+        df = self.spark.read.parquet(path) if path.lower().endswith(".parquet") else read_pipe(self.spark, path, self.tables[name].schema)
         df.createOrReplaceTempView(name)
         return df
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import warnings
 from dataclasses import dataclass, field
 
 from pyspark.sql import types as T
@@ -31,8 +32,8 @@ def parts(body: str) -> list[str]:
 
 
 def parse_create(statement: str) -> Table:
-    """The table that a CREATE TABLE statement declares. Keys of several columns are passed over, as
-    only single columns can be indexed."""
+    """The table that a CREATE TABLE statement declares. Keys of several columns are passed over with
+    a warning, as only single columns can be indexed."""
     m = re.match(r"\s*create\s+table\s+(?:if\s+not\s+exists\s+)?[`\"]?([\w.]+)[`\"]?\s*\((.*)\)\s*;?\s*$", statement, re.I | re.S)
     if not m:
         raise ValueError(f"not a CREATE TABLE statement: {statement[:80]!r}")
@@ -50,6 +51,8 @@ def parse_create(statement: str) -> Table:
             fields.append(T.StructField(name, spark_type(" ".join(rest.split()))))
             if re.search(r"\bprimary\s+key\b", rest, re.I):
                 primary.append(name)
+    for x in (x for x in (*primary, *indexed) if "," in x):
+        warnings.warn(f"table {m[1]}: no index of several columns ({x.strip()}) is built", stacklevel=2)
     single = lambda lists: tuple(x.strip(" `\"") for x in lists if "," not in x)
     keys = {kind: cols for kind, cols in (("PK", single(primary)), ("IDX", single(indexed))) if cols}
     return Table(m[1].rpartition(".")[2], T.StructType(fields), keys)

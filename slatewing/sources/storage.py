@@ -7,12 +7,18 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+#: Paths handed out by ``scratch`` and not yet removed.
+CREATED: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir. Only where that is unset (tests on
-    one machine) a temporary folder of our own is set instead."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where that is unset, a temporary folder
+    is set on one machine (tests); on a cluster it is an error, since executors would not see it."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='slatewing-')}"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
@@ -21,4 +27,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/slatewing-{label}-{uuid.uuid4().hex}"
+    CREATED.append(f"{shared_dir(spark)}/slatewing-{label}-{uuid.uuid4().hex}")
+    return CREATED[-1]
+
+
+def release(spark: SparkSession, *keep: str, since: int = 0) -> None:
+    """Removes what lies at the scratch paths handed out from number ``since`` on, but for those to keep.
+    For use once the results that read them have been written."""
+    conf, path_of = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for x in [x for x in CREATED[since:] if x not in keep]:
+        path = path_of(x)
+        path.getFileSystem(conf).delete(path, True)
+        CREATED.remove(x)

@@ -88,3 +88,29 @@ def test_command_line(spark, folder, tmp_path):
     out = io.StringIO()
     assert cli.main(["--build", "--data", folder, "--index", f"{tmp_path}/ix", str(schema)], out) == 0
     assert [x.rpartition("/")[2] for x in out.getvalue().split()] == ["PERSONINFO_ID_PK", "PERSONINFO_STATE_IDX"]
+
+
+def test_filters_use_a_declared_index(spark, folder, tmp_path):
+    from slatewing.sources.index import IndexStore
+
+    declared = PLAYERS.replace("BIRTHDATE date)", "BIRTHDATE date, primary key(ID), index seasons (FIRSTSEASON))")
+    catalog, store = Catalog(spark, f"file://{folder}"), IndexStore(spark, f"file://{tmp_path}/index")
+    list(run(spark, declared, catalog))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString() + str(df.inputFiles())
+    query = "select ID, LASTNAME from PLAYERS where FIRSTSEASON >= 1980 and WEIGHT > 100"
+    before = next(run(spark, query, catalog, store=store))
+    assert "PLAYERS_FIRSTSEASON_IDX" not in plan(before)
+    assert len(store.build_all(catalog)) == 2
+    got = next(run(spark, query, catalog, store=store))
+    assert "PLAYERS_FIRSTSEASON_IDX" in plan(got) and sorted(got.collect()) == sorted(before.collect()) == [("p1", "Bo")] * 2
+    got = next(run(spark, "select p.ID from PLAYERS p join PLAYERS q on p.ID = q.ID where p.ID = 'p3'", catalog, store=store))
+    assert "PLAYERS_ID_PK" in plan(got) and [tuple(r) for r in got.collect()] == [("p3",)]
+    # Without a filter on an indexed column, and after a query by index, the table itself is read.
+    assert "_IDX" not in plan(next(run(spark, "select ID from PLAYERS where WEIGHT > 1", catalog, store=store)))
+
+
+def test_keys_of_several_columns_are_reported():
+    from slatewing.sources.ddl import parse_create
+
+    with pytest.warns(UserWarning, match="a, b"):
+        assert parse_create("create table t(a int, b int, primary key (a, b))").keys == {}
