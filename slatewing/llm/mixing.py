@@ -379,24 +379,27 @@ class Mixer:
 
     def bits(self, words: list[bytes], ranks: np.ndarray, first: np.ndarray) -> np.ndarray:
         """The cost in bits of each token."""
-        lengths, cells = [], []
-        hashes = self.coder.contexts(ranks, first)
+        hashes, spelled = self.coder.contexts(ranks, first), [words[i] for i in np.flatnonzero(ranks < 0)]
+        total = int(self.coder.length[np.where(ranks < 0, len(self.coder.words), ranks)].sum())
+        if spelled:
+            total += int(self.coder.letter_length[np.frombuffer(b"\n".join(spelled) + b"\n", np.uint8)].sum())
+        lengths, cells, at = [], np.zeros((total, 8), np.int8), 0
         for a in range(0, len(ranks), SLICE):
             b = a + SLICE
             node, bit, slots, kind, length = self.coder.decisions(words[a:b], ranks[a:b], [h[a:b] for h in hashes])
-            x = np.zeros((len(bit), 8), np.int8)
+            x = cells[at : at + len(bit)]
+            at += len(bit)
             x[:, 0] = self.plain[node]
             for k, slot in enumerate(slots):
                 x[:, k + 1] = self.slots[k][slot]
             gate = (x[:, 2] != 0).view(np.uint8) | (x[:, 3] != 0).view(np.uint8) << 1 | kind << 2
             x[:, 4] = gate << 1 | bit
-            cells.append(x)
             lengths.append(length)
         length = np.concatenate(lengths)
         ends = np.cumsum(length)
         doc_start = (ends - length)[first]
         with np.errstate(over="ignore"):
-            cost = run_lanes(np.concatenate(cells), doc_start, np.diff(np.r_[doc_start, ends[-1]]))
+            cost = run_lanes(cells, doc_start, np.diff(np.r_[doc_start, ends[-1]]))
         return np.add.reduceat(cost, ends - length)
 
 
