@@ -55,4 +55,10 @@ def test_two_thirds_of_the_rows_alike(spark, documents):
     assert simhash.one_of_each(hot).filter("doc_id = 6").count() == 1
     assert suffixes.removed(hot).filter("doc_id = 6 and n_removed = n_bytes").count() == 603
     assert licenses.verdicts(hot).count() == hot.count()
+    assert chunks.deduplicated(hot).count() == hot.count()
+    scores = mixing.score(hot).filter("doc_id = 6")
+    assert scores.count() == 603 and scores.select("score", "base_score").distinct().count() == 1
+    leak = hot.sparkSession.createDataFrame([(1, hot.filter("doc_id = 6").first().text, "x", 3)], "item_id long, text string, doc_id string, seed int")
+    found = decontaminate.overlaps(hot, leak)
+    assert found.filter("doc_id = 6").count() == 1 and decontaminate.clean(hot, leak).filter("doc_id = 6").count() == 0
     assert packing.best_fit(hot, capacity=400).filter("doc_id = 6").groupBy("bin_id").count().filter("count > 1").count() == 0

@@ -84,7 +84,7 @@ def test_components(spark, few):
     assert graph.components(spark.createDataFrame([(1, 1)], "a long, b long"), few=few).count() == 0
 
 
-def test_near_duplicates_by_shingles(spark):
+def test_near_duplicates_by_shingles(spark, monkeypatch):
     r = random.Random(11)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(3, 9)))
     texts = []
@@ -101,7 +101,8 @@ def test_near_duplicates_by_shingles(spark):
     similar = lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b) > 0
     links = [(i, j) for i in range(len(texts)) for j in range(i) if similar(sets[i], sets[j])]
     want = roots(len(texts), links)
-    for bucket in (4, 2048):
+    for bucket, easy in ((4, 2), (2048, 0)):
+        monkeypatch.setattr(simhash, "EASY", easy)
         got = simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bucket=bucket).toPandas().sort_values("doc_id")["root"].tolist()
         assert len(set(zip(want, got))) == len(set(got)) == len(set(want))
 
@@ -248,3 +249,60 @@ def test_passages_are_cut_once(spark, documents):
     assert all(got[100 + i].n_removed == 0 for i in range(30))
     rows = {r.doc_id: r.text for r in documents.collect()}
     assert got[12].text == rows[12] and len(got[13].text.encode()) == got[13].n_bytes - got[13].n_removed
+
+
+def test_a_large_group_of_near_copies_gives_few_pairs(spark, monkeypatch):
+    """Copies with many edits are alike to the original, not to each other; the pairs compared grow with the group, not with its square."""
+    r = random.Random(31)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(3, 9)))
+    base, texts = [word() for _ in range(150)], []
+    for _ in range(300):
+        own = list(base)
+        for p in r.sample(range(150), r.randint(1, 5)):
+            own[p] = word()
+        texts.append(" ".join(own))
+    links, sizes, real = similar_links(texts), [], simhash.enough
+    monkeypatch.setattr(simhash, "enough", lambda pairs, *how: sizes.append(pairs.count()) or real(pairs, *how))
+    got = simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).toPandas().sort_values("doc_id")["root"].tolist()
+    want = roots(len(texts), links)
+    assert len(set(zip(want, got))) == len(set(got)) == len(set(want))
+    assert sum(sizes) < 30 * 300 < 300 * 299 / 2 / 4  # 14 tables' forests and the rounds: linear
+
+
+def chunked(rows, run_bytes=96):
+    """What op6 leaves of (doc_id, text) rows with different ids, by plain loops."""
+    place, cut = {}, {}
+    for i, t in sorted(rows):
+        b = chunks.chunk_bounds(t)
+        cut[i] = [(x, y, t[x:y]) for x, y in zip(b, b[1:])]
+        for x, _, c in cut[i]:
+            place.setdefault(c, []).append((i, x))
+    out = {}
+    for i, t in rows:
+        kept, run = b"", []
+        for x, y, c in [*cut[i], (0, 0, None)]:
+            if c is not None and len(place[c]) > 1:
+                run.append((x, y, c))
+                continue
+            long = sum(b - a for a, b, _ in run) >= run_bytes
+            kept += b"".join(z for a, _, z in run if not long or place[z][0] == (i, a))
+            run = []
+            kept += c or b""
+        out[i] = kept
+    return out
+
+
+def passages(seed, n=40):
+    """Random texts, some with passages of other texts."""
+    r = random.Random(seed)
+    noise = lambda k: "".join(r.choice("abcdefghé ") for _ in range(k))
+    shared = [noise(k) for k in (60, 130, 400, 900)]
+    return [(i, noise(r.randint(0, 600)) + (r.choice(shared) if i % 3 else "") + noise(r.randint(0, 300)) + (r.choice(shared) if i % 4 == 0 else "")) for i in range(n)] + [(n, ""), (n + 1, "x")]
+
+
+def test_chunks_against_plain_loops(spark):
+    rows = passages(5)
+    got = {r.doc_id: r for r in chunks.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = chunked([(i, t.encode()) for i, t in rows])
+    assert {i: r.text.encode() for i, r in got.items()} == want
+    assert all(r.n_bytes - r.n_removed == len(want[i]) for i, r in got.items()) and sum(r.n_removed for r in got.values()) > 2000

@@ -38,6 +38,27 @@ def test_labels_of_held_out_rows_change_nothing(spark):
     assert scores[0] == scores[1]
 
 
+def brute_vote(model, text):
+    """The vote on one text, neighbour by neighbour."""
+    row = quality.features((text or "").encode())
+    if not row.any():
+        return model.prior
+    own = (model.weighted(row[None]) @ model.axes)[0].astype(np.float64)
+    own /= math.sqrt((own * own).sum())
+    near = sorted(((float(own @ v), float(y)) for v, y in zip(model.vectors.astype(np.float64), model.labels)), reverse=True)[: model.neighbours]
+    weights = [max(c, 0) ** model.power for c, _ in near]
+    return sum(w * y for w, (_, y) in zip(weights, near)) / sum(weights)
+
+
+def test_votes_against_every_neighbour(spark):
+    texts = [prose(i, 20 + i % 30) + ("!! AND MORE " * (i % 4)) for i in range(200)] + ["", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "1 as quality", "0 as label", "'x' as score")
+    labels = spark.createDataFrame([(i, int(i % 4 < 2), f"clash {i}") for i in range(200)], "doc_id long, quality int, text string")
+    model = quality.fit(docs, labels)
+    got = {r.doc_id: r.score for r in quality.scored(docs, model).collect()}
+    assert all(abs(got[i] - brute_vote(model, t)) < 1e-3 for i, t in enumerate(texts))
+
+
 def test_base_scores(spark, awkward, documents):
     rows = [(r.doc_id, (r.text or "").encode().translate(LOWER).split() + [b""]) for r in documents.collect()]
     train = lambda i: i is None or zlib.crc32(str(i).encode()) % 10 != 0
@@ -289,3 +310,54 @@ def test_best_fit(seed):
         assert (at["bin_offset"].to_numpy() >= np.r_[0, np.cumsum(at["n_words"].to_numpy().astype(int))[:-1]]).all()
     _, bins = naive_pack(sorted(rows, key=lambda r: (-r[1], r[0])), 100)
     assert abs(got["bin_id"].nunique() - bins) <= 0.03 * bins + 1
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_every_bin_was_the_tightest(seed):
+    """Replay: no compatible bin with less room was open when a piece was placed."""
+    import pandas as pd
+
+    g = np.random.default_rng(10 + seed)
+    rows = {i: (int(n), f"s{s}" if s else None, int(c)) for i, (n, s, c) in enumerate(zip(g.integers(0, 90, 400), g.integers(0, 9, 400), g.integers(0, 90, 400)))}
+    got = packing.pack_shard(pd.DataFrame([(i, *x) for i, x in rows.items()], columns=["doc_id", "n_words", "source", "cluster"]), 100)
+    bins = {}
+    for r in got.itertuples():
+        _, source, cluster = rows[r.doc_id]
+        fits = [b for b, (left, sources, clusters) in bins.items() if left >= r.n_words and (source is None or source not in sources) and cluster not in clusters]
+        if r.bin_id in bins:
+            assert r.bin_id in fits and bins[r.bin_id][0] == min(bins[b][0] for b in fits) and r.bin_offset == 100 - bins[r.bin_id][0]
+        else:
+            assert not fits and r.bin_offset == 0
+        left, sources, clusters = bins.setdefault(r.bin_id, (100, set(), set()))
+        bins[r.bin_id] = left - r.n_words, sources | {source}, clusters | {cluster}
+
+
+def packed_well(rows, documents, capacity):
+    """Rows of the packing hold every word of the documents (doc_id, text, source) once, in order, in bins
+    that aren't overfull and hold no source and no text twice."""
+    import re
+
+    lower = lambda t: (t or "").encode().translate(LOWER)
+    words = lambda t: len(re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode()))
+    pieces, bins = defaultdict(list), defaultdict(list)
+    for r in rows:
+        pieces[r["doc_id"]].append((r["piece"], r["first_word"], r["n_words"]))
+        bins[r["bin_id"]].append(r)
+    by_id = {d["doc_id"]: d for d in documents}
+    assert set(pieces) == set(by_id) and len(by_id) == len(documents)
+    for i, own in pieces.items():
+        own.sort()
+        assert [a for a, _, _ in own] == list(range(len(own))) and [b for _, b, _ in own] == [k * capacity for k in range(len(own))]
+        assert sum(n for *_, n in own) == words(by_id[i]["text"])
+    for own in bins.values():
+        assert sum(r["n_words"] for r in own) == own[0]["bin_words"] <= capacity
+        docs = {r["doc_id"]: by_id[r["doc_id"]] for r in own}
+        sources = [d["source"] for d in docs.values() if d["source"] is not None]
+        assert len(docs) == len(own) and len(sources) == len(set(sources)) and len({lower(d["text"]) for d in docs.values()}) == len(docs)
+    return True
+
+
+def test_packing_of_a_table(spark, documents):
+    once = documents.filter("doc_id is not null").dropDuplicates(["doc_id"])
+    rows, docs = ([r.asDict() for r in x.collect()] for x in (packing.best_fit(once), once))
+    assert packed_well(rows, docs, packing.CAPACITY)
