@@ -30,6 +30,8 @@ BUCKET = 2048
 SMALL = 16
 #: Shingles that a task packs at once, and that a part of their range has on average.
 PACKED, PART_SHINGLES = 1 << 22, 1_500_000
+#: Pairs of texts a row of a shared shingle that are compared at once, and rounds to get there.
+EASY, ROUNDS = 2, 6
 #: A byte's eight bits spread over the eight bytes of a word, for sums of up to 255 of them.
 SPREAD = np.array([int.from_bytes(bytes((b >> k) & 1 for k in range(8)), "little") for b in range(256)], dtype=np.uint64)
 
@@ -340,43 +342,59 @@ def prefix_links(lists: DataFrame, placed: DataFrame, similarity: float) -> Data
 
     By prefix filtering: in any common order of all shingles, two similar texts share one of the first
     n - ceil(similarity * n) + 1 shingles of each. The order is by the number of texts, rarest first, so
-    shingles of a single text come first and are no candidates. Of each shared shingle's texts, the
-    neighbours and the first are compared first and joined to components; then, for the shingles that
-    still belong to several components, all pairs of texts that are not joined yet, so that a large group
-    of near copies doesn't give all its pairs."""
+    shingles of a single text come first and are no candidates. While the texts that share a shingle and
+    aren't joined yet would give over ``EASY`` pairs a row, they are compared in rounds: each with its
+    neighbour, and with the text of another component that has the fewest shingles of its own, which in
+    a group of near copies is closest to all others. Then all remaining pairs of shingles that still
+    belong to several components are compared, so that a large group doesn't give all its pairs."""
     alone = F.col("n") - F.size("shingles")
     length = F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-6) + 1 - alone
     first = lists.filter(length > 0).select("node", "n", alone.alias("alone"), F.posexplode(F.slice("shingles", F.lit(1), length.cast("int"))).alias("pos", "shingle"))
-    roots = placed.select(F.col("node").alias("member"), "root")
-    prefix = settle(first.select("shingle", "node", "n", (F.col("alone") + F.col("pos")).alias("place")).join(roots, F.col("node") == F.col("member")).drop("member"))
+    prefix = settle(first.select("shingle", "node", "n", "alone", (F.col("alone") + F.col("pos")).alias("place")))
+    old = placed.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
 
     def possible(x, y):
         """By the sizes, and by what can follow the first common shingle."""
         rest = F.least(x("n") - x("place"), y("n") - y("place"))
         return (x("root") != y("root")) & (rest >= F.lit(similarity / (1 + similarity)) * (x("n") + y("n")) - 1e-6)
 
-    def several(rows):
-        """Without the shingles whose texts are all of one component."""
-        mixed = settle(rows.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("shingle"))
-        return rows.join(mixed, "shingle")
-
-    def ordered(pairs):
-        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-    own_row = F.struct("node", "n", "place", "root")
-    by = Window.partitionBy("shingle").orderBy("node")
-    ahead = several(prefix).select(own_row.alias("x"), F.lag(own_row).over(by).alias("before"), F.first(own_row).over(by).alias("head"))
-    stars = ahead.select("x", F.explode(F.array("before", "head")).alias("y")).filter("x.node <> y.node")
-    near = stars.filter(possible(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    tried = settle(ordered(near))
-    links = settle(enough(tried, lists, similarity))
-    old = placed.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-    joined = components(old.unionByName(links)).select(F.col("node").alias("member"), F.col("root").alias("now"))
-    rows = settle(several(prefix.drop("root").join(joined, F.col("node") == F.col("member"), "left").select("shingle", "node", "n", "place", F.coalesce("now", "node").alias("root"))))
+    def several(roots):
+        """The rows of the shingles whose texts are of several components, with their roots."""
+        known = roots.select(F.col("node").alias("member"), "root")
+        rows = settle(prefix.join(known, F.col("node") == F.col("member"), "left").select(*prefix.columns, F.coalesce("root", "node").alias("root")))
+        mixed = settle(rows.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("texts")).filter("least <> most").select("shingle", "texts"))
+        count, pairs = mixed.agg(F.coalesce(F.sum("texts"), F.lit(0)), F.coalesce(F.sum(F.col("texts") * (F.col("texts") - 1) / 2), F.lit(0))).first()
+        return settle(rows.join(mixed.select("shingle"), "shingle")), pairs > EASY * count
+
+    def compared(pairs, tried):
+        """The new ones of some pairs, and the links among them."""
+        new = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        new = settle(new if tried is None else new.join(tried, ["a", "b"], "left_anti"))
+        return new, settle(enough(new, lists, similarity))
+
+    def side(row):
+        return lambda c: F.col(f"{row}.{c}")
+
+    rows, crowded = several(placed)
+    tried = links = None
+    for _ in range(ROUNDS):
+        if not crowded:
+            break
+        own_row, by = F.struct("alone", "node", "n", "place", "root"), Window.partitionBy("shingle")
+        heads = rows.select("shingle", "root", own_row.alias("x"), F.min(own_row).over(by).alias("head"), F.lag(own_row).over(by.orderBy("node")).alias("before"))
+        other = F.min(F.when(F.col("root") != F.col("head.root"), F.col("x"))).over(by)
+        stars = heads.select("x", F.array("before", F.when(F.col("root") != F.col("head.root"), F.col("head")).otherwise(other)).alias("y")).select("x", F.explode("y").alias("y"))
+        near = stars.filter("x.node <> y.node").filter(possible(side("x"), side("y"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+        new, found = compared(near, tried)
+        tried = new if tried is None else settle(tried.unionByName(new))
+        if found.isEmpty():
+            break
+        links = found if links is None else settle(links.unionByName(found))
+        rows, crowded = several(components(old.unionByName(links)))
     x, y = rows.alias("x"), rows.alias("y")
-    meet = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.node") < F.col("y.node")) & possible(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}"))
-    others = x.join(y.hint("merge"), meet).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    return links.unionByName(settle(enough(settle(others), lists, similarity)))
+    meet = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.node") < F.col("y.node")) & possible(side("x"), side("y"))
+    _, found = compared(x.join(y.hint("merge"), meet).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), tried)
+    return found if links is None else links.unionByName(found)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 3, reach: int = 12, bucket: int = BUCKET) -> DataFrame:
