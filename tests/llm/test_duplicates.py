@@ -217,6 +217,21 @@ def test_what_remains(spark, documents):
         assert sum(b - a for a, b in gone) == r.n_removed and len(gone) == r.n_spans
 
 
+def test_anchors_are_stored_in_full_files(spark):
+    """Each file costs processes that for a moment are images of the executor."""
+    names = ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.autoBroadcastJoinThreshold")
+    before = [spark.conf.get(n) for n in names]
+    try:
+        spark.conf.set(names[0], "256k")
+        spark.conf.set(names[1], "-1")
+        rows = spark.range(100_000).selectExpr("xxhash64(id div if(id < 100, 2, 1)) AS h", "xxhash64(id) AS s", "id AS k1", "id AS k2", "id AS place")
+        got = suffixes.anchored(rows)
+        assert sorted(r.k1 for r in got.select("k1").collect()) == sorted(k for k in range(100_000) if k < 100) and len(got.inputFiles()) == 1
+    finally:
+        for n, v in zip(names, before):
+            spark.conf.set(n, v)
+
+
 def test_pieces_of_very_long_texts(monkeypatch):
     monkeypatch.setattr(suffixes, "PIECE", 100)
     text = bytes(random.Random(1).randbytes(1000))
