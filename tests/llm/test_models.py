@@ -113,6 +113,71 @@ def test_code_words_are_a_prefix_code():
         assert len(set(strings)) == len(c) and not any(b.startswith(a) for a, b in zip(strings, strings[1:]))
 
 
+class Text(bytes):
+    as_py = bytes.__bytes__
+
+
+def odd_texts():
+    import random
+
+    r = random.Random(4)
+    plain = [b"", b" \t", b"\x0b a\x1cb\x85 c\xc2\xa0d\x0c", b"A" * 8 + b" " + b"a" * 9, b"b" * 16 + b" " + b"c" * 17 + b"\r" + b"C" * 64, b"\x00 a\x00 a a\x00\x00"]
+    return plain + [bytes(r.choice(b"abB \x00\n\x1f\xc3") for _ in range(r.randrange(60))) for _ in range(400)]
+
+
+@pytest.mark.parametrize("most", [1, 30, 5000])
+def test_words_as_places_in_a_buffer(most):
+    """Tokens, ranks and counts as plain Python gives them, for words of all lengths, without an object
+    for each token."""
+    texts = odd_texts()
+    want = [mixing.tokens(t) for t in texts]
+    vocabulary = sorted({w for t in want[:300] for w in t})
+    index, rank = mixing.Index(vocabulary), {w: i for i, w in enumerate(vocabulary)}
+    parts = list(mixing.flat(map(Text, texts), most))
+    assert all(isinstance(words, mixing.Words) for words, _, _ in parts)
+    assert [words[i] for words, _, _ in parts for i in range(len(words))] == [w for t in want for w in t]
+    assert [n for _, sizes, _ in parts for n in sizes.tolist()] == list(map(len, want))
+    assert [bool(x) for _, _, first in parts for x in first] == [i == 0 for t in want for i in range(len(t))]
+    assert [r for words, _, _ in parts for r in index.ranks(words).tolist()] == [rank.get(w, -1) for t in want for w in t]
+    held = mixing.Counts()
+    for words, _, _ in parts:
+        held.add(words)
+    assert len(held) >= len(set(w for t in want for w in t))
+    got = list(zip(*(x.to_pylist() for x in held.take())))
+    assert len(held) == 0 and len(dict(got)) == len(got) and dict(got) == Counter(w for t in want for w in t)
+    assert [len(x) for x in held.take()] == [0, 0]
+
+
+def test_words_with_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(mixing, "hashed", lambda head, size, long, tail: np.full(len(head), 1 << 63, np.uint64))
+    vocabulary = [b"", b"a", b"a\x00", b"abcdefgh", b"abcdefghi", b"abcdefghj", b"x" * 17]
+    words = mixing.Words.of([*vocabulary[::-1], b"b", b"abcdefghk", b"x" * 18, b"a"])
+    assert mixing.Index(vocabulary).ranks(words).tolist() == [6, 5, 4, 3, 2, 1, 0, -1, -1, -1, 1]
+    held, got = mixing.Counts(), Counter()
+    held.add(words)
+    held.add(words)
+    for w, n in zip(*(x.to_pylist() for x in held.take())):
+        got[w] += n
+    assert got == Counter(2 * words.some(np.arange(len(words))))
+
+
+def test_context_tables_hold_every_training_bit(spark):
+    texts = [(i, f"{prose(i, 60)} unknown{i % 7} Wörd unknown{i % 3}") for i in range(40)]
+    docs = mixing.texts_of(spark.createDataFrame([*texts, (99, None)], "doc_id long, text string").repartition(3), "doc_id", "text")
+    known = sorted({w.encode() for w in prose(0, 60).split()} | {b""})
+    coder = mixing.Coder(known, np.arange(len(known), 0, -1), 14)
+    slots, letters = mixing.gather(docs, coder)
+    ws, _, first = mixing.joined([mixing.tokens(t.encode()) for i, t in [*texts, (99, "")] if zlib.crc32(str(i).encode()) % 10])
+    ranks = coder.ranks(ws)
+    _, bit, at, _, _ = coder.decisions(ws, ranks, coder.contexts(ranks, first))
+    for got, slot in zip(slots, at):
+        want = np.zeros((1 << 14, 2), np.int64)
+        np.add.at(want, (slot, bit), 1)
+        assert (got == mixing.log_odds(want)).all()
+    rare = ws.some(np.flatnonzero(ranks < 0))
+    assert (letters == np.bincount(np.frombuffer(b"\n".join(rare) + b"\n", np.uint8), minlength=256)).all() and len(rare) > 300
+
+
 def small_model(seed=3, bits=14):
     words = prose(seed, 400).split() * 2 + prose(seed + 1, 300).split()
     counts = Counter(w.encode() for w in words)
